@@ -15,6 +15,14 @@ def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lineagelake.llm import fertility
+
+    return fertility.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
