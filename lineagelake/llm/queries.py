@@ -15,6 +15,14 @@ def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lineagelake.llm import bpe
+
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), tokens=False)
+
+
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
