@@ -23,6 +23,13 @@ def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), tokens=False)
 
 
+def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
+    from lineagelake.llm import secret_scan
+
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
