@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lineagelake.session import table
 
 
+def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
+    from lineagelake.llm import mixing
+
+    return mixing.assign(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from lineagelake.llm import simhash
 
