@@ -198,3 +198,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, pieces:
     least = with_root.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = with_root.select("fp", "root").join(own_exchange(least, "root"), "root").select("fp", "component_id")
     return fps.join(own_exchange(of_fp, "fp"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, pieces: int = 3) -> DataFrame:
+    """One row of each group of near duplicates, with the columns of docs: the one with the
+    smallest doc_id; of several rows with that id, the least by its columns in order.
+
+    A row without an id takes one from its text, above all ids up to 2^62, so it stays only
+    where no row of its group has an id. Columns must be orderable (no maps)."""
+    anonymous = F.lit(1 << 62) + F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), anonymous))
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, radius, pieces)
+    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    rows = keyed.join(chosen, "_key", "left_semi").select("_key", F.struct(*docs.columns).alias("_row"))
+    return rows.groupBy("_key").agg(F.min("_row").alias("_row")).select("_row.*")
