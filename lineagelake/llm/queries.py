@@ -29,6 +29,12 @@ def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), tokens=False)
 
 
+def op6_license_scan(spark, sf_dir: str) -> DataFrame:
+    from lineagelake.llm import license_scan
+
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     from lineagelake.llm import secret_scan
 
