@@ -50,6 +50,17 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     return fertility.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_url_filter(spark, sf_dir: str) -> DataFrame:
+    """A page's URL ends in the number of the document it shows, whose quality labels it."""
+    from lineagelake.llm import url_rules
+
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(url_rules.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", 1)
+    numbered = pages.select("url", number.alias("n")).selectExpr("url", "try_cast(n as long) as doc_id")
+    judged = numbered.join(labels.select("doc_id", (F.col("quality") == 0).alias("blocked")), "doc_id").select("url", "blocked")
+    return url_rules.judge(pages, judged)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
