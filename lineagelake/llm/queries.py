@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from lineagelake.session import table
 
 
+def op1_quality_gam(spark, sf_dir: str) -> DataFrame:
+    from lineagelake.llm import quality_gam
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_gam.score(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
     from lineagelake.llm import mixing
 
