@@ -21,6 +21,12 @@ def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
     return mixing.assign(table(spark, sf_dir, "documents"))
 
 
+def op3_media_avi(spark, sf_dir: str) -> DataFrame:
+    from lineagelake.llm import media_avi
+
+    return media_avi.read_media(media_avi.to_media(table(spark, sf_dir, "documents"))).drop("clips")
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     from lineagelake.llm import simhash
 
