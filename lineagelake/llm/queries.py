@@ -55,6 +55,12 @@ def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op8_chat_quotes(spark, sf_dir: str) -> DataFrame:
+    from lineagelake.llm import chat_quotes
+
+    return chat_quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
