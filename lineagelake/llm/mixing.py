@@ -3,8 +3,8 @@
 Token weights of the cells source x language x topic are raked until their margins are the
 targets; documents are then kept with the probability that their cell's weight asks for.
 
-Scale: the corpus is read once for the cells (one partial aggregation, so a source with a
-third of all rows is a few partial sums) and once to mark documents. The cell table has a
+Scale: texts are read once; the cells are one partial aggregation, so a source with a
+third of all rows is a few partial sums. The cell table has a
 proven bound: at most MAX_VALUES values a margin, the smaller ones pooled into OTHER. It is
 raked in one partition by window sums, without a shuffle a step, and broadcast to the
 documents.
@@ -39,22 +39,32 @@ class Mix:
     max_blocks: int = 20
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic from surface marks of the whole text; null and empty: none."""
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+def tokens_of(text: Column) -> Column:
+    """Tokens counted as words and single ASCII marks."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[A-Za-z0-9\x80-\x{10FFFF}]+|[!-/:-@\[-`{-~]")), F.lit(0)).cast("long")
+
+
+def topic_of(text: Column, n_tokens: Column) -> Column:
+    """A coarse topic from surface marks of the whole text; without tokens: none."""
+    low = F.lower(text)
+    legal = [F.contains(low, F.lit(x)) for x in ("license", "licence", "copyright", "all rights reserved")]
+    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
     return (
-        F.when(F.coalesce(words, F.lit(0)) == 0, "none")
-        .when(text.rlike(r"(?i)\b(licen[cs]e|all rights reserved|copyright)\b"), "legal")
-        .when(F.regexp_count(text, F.lit(r" \| ")) * 4 > words, "tabular")
-        .when(words < 60, "brief")
-        .when(words < 600, "article")
+        F.when(n_tokens == 0, "none")
+        .when(legal[0] | legal[1] | legal[2] | legal[3], "legal")
+        .when(bars * 8 > n_tokens, "tabular")
+        .when(n_tokens < 70, "brief")
+        .when(n_tokens < 700, "article")
         .otherwise("long")
     )
 
 
-def tokens_of(text: Column) -> Column:
-    """Tokens counted as words and single marks."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")), F.lit(0)).cast("long")
+def _told(docs: DataFrame) -> DataFrame:
+    """docs with a struct _key of the margins' values and n_tokens."""
+    text = F.col("text").cast("string")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    counted = docs.withColumn("_n", tokens_of(text))
+    return counted.withColumn("_key", F.struct(name("source"), name("lang"), topic_of(text, F.col("_n")).alias("topic"), F.col("_n").alias("n_tokens"))).drop("_n")
 
 
 def cells(docs: DataFrame, margins: tuple[str, ...] = ("source", "lang", "topic")) -> DataFrame:
@@ -125,21 +135,17 @@ def probabilities(raked: DataFrame, mix: Mix, margins: tuple[str, ...] = ("sourc
     return t.drop("_t", "_w", "_s", "_fits", "ratio")
 
 
-def _marked(docs: DataFrame, mix: Mix) -> DataFrame:
-    """docs with _mix: topic, tokens, weight, probability and the verdict."""
+def _marked(told: DataFrame, mix: Mix) -> DataFrame:
+    """told (doc_id, _key, ...): adds _mix: topic, tokens, weight, probability, verdict."""
     margins = ("source", "lang", "topic")
-    text = F.col("text").cast("string")
-    key = F.struct(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("n_tokens"))
-    told = docs.withColumn("_key", key)
     table = cells(told.select("_key.*"), margins)
     raked = checkpoint(probabilities(rake(table, mix, margins), mix, margins))
-    known = {m: raked.select(F.collect_set(m).alias(f"_{m}")) for m in margins}
-    for frame in known.values():
-        told = told.crossJoin(F.broadcast(frame))  # one row: the values that are told apart
-    values = [F.when(F.array_contains(f"_{m}", F.col(f"_key.{m}")), F.col(f"_key.{m}")).otherwise(OTHER).alias(f"_c_{m}") for m in margins]
-    told = told.select(*[told[c] for c in docs.columns], "_key", *values)
+    # One row: the values that are told apart.
+    known = F.broadcast(raked.agg(*[F.collect_set(m).alias(f"_{m}") for m in margins]))
+    own = [F.when(F.array_contains(f"_{m}", F.col(f"_key.{m}")), F.col(f"_key.{m}")).otherwise(OTHER).alias(f"_c_{m}") for m in margins]
+    placed = told.join(known, how="left", on=F.lit(True)).select(*[told[c] for c in told.columns], *own)
     rates = raked.select(*[F.col(m).alias(f"_c_{m}") for m in margins], F.struct("weight", "tokens", "probability").alias("_cell"))
-    out = told.join(F.broadcast(rates), [f"_c_{m}" for m in margins], "left")
+    out = placed.join(F.broadcast(rates), [f"_c_{m}" for m in margins], "left")
     draw = F.xxhash64(F.lit(mix.seed), F.col("doc_id").cast("long")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     p = F.coalesce(F.col("_cell.probability"), F.lit(0.0))
     return out.withColumn("_mix", F.struct(F.col("_key.topic").alias("topic"), F.col("_key.n_tokens").alias("n_tokens"), F.coalesce(F.col("_cell.weight") / F.col("_cell.tokens"), F.lit(0.0)).alias("token_weight"), p.alias("probability"), (draw < p).alias("kept")))
@@ -154,9 +160,11 @@ def assign(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     it repeats, rows of one id are drawn alike, and a lost task draws as before. An empty
     table gives no rows; columns of other names are not read.
     """
-    return _marked(docs.select(F.col("doc_id").cast("long"), "text", "source", "lang"), mix).select("doc_id", "source", "lang", "_mix.*")
+    # Texts are read once; what is kept of a row is some 40 bytes.
+    told = checkpoint(_told(docs.select(F.col("doc_id").cast("long"), "text", "source", "lang")).drop("text"))
+    return _marked(told, mix).select("doc_id", "source", "lang", "_mix.*")
 
 
 def sample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of docs that are drawn, with all their columns."""
-    return _marked(docs, mix).where("_mix.kept").select(*docs.columns)
+    return _marked(_told(docs), mix).where("_mix.kept").select(*docs.columns)

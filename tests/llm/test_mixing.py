@@ -19,7 +19,7 @@ def plain_rake(rows, targets, sweeps=400):
 def test_documents_match_plain_raking(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     mix = mixing.Mix()
-    told = docs.withColumn("topic", mixing.topic_of(F.col("text"))).withColumn("n_tokens", mixing.tokens_of(F.col("text")))
+    told = docs.withColumn("n_tokens", mixing.tokens_of(F.col("text"))).withColumn("topic", mixing.topic_of(F.col("text"), F.col("n_tokens")))
     raked = mixing.probabilities(mixing.rake(mixing.cells(told), mix), mix)
     rows = [r.asDict() for r in raked.collect()]
     total = sum(r["tokens"] for r in rows)
