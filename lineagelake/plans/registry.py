@@ -189,7 +189,7 @@ def merge_pairs(spark, sf_dir):
     return _merged(spark, sf_dir).select("read_id", "tax_id", "seq_id", "site", _r("mut"), _r("nom"))
 
 
-@query(f"WITH {NEAR} SELECT read_id, tax_id, round(score, 3) AS score, round(rel_sim, 4) AS rel_sim FROM near")
+@query(f"WITH {NEAR} SELECT read_id, tax_id, round(score, 3) + 0.0 AS score, round(rel_sim, 4) AS rel_sim FROM near")
 def similarity_scores(spark, sf_dir):
     return alignment.near_best(_scored(spark, sf_dir)).select("read_id", "tax_id", _r("score", 3), _r("rel_sim", 4))
 
