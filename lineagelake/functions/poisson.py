@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOWEST = -230.2585  # ln 1e-100
 
@@ -41,7 +42,7 @@ def band_ratio(n: float, mean: float) -> float:
     return 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def band_ratio_udf(n: pd.Series, mean: pd.Series) -> pd.Series:
     keys, back = np.unique(np.stack([n.to_numpy(float), mean.to_numpy(float)]), axis=1, return_inverse=True)
     values = np.array([band_ratio(a, b) for a, b in keys.T])
