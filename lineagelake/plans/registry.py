@@ -243,7 +243,7 @@ def scored_hits(spark, sf_dir):
 @query()
 def greedy_cover(spark, sf_dir):
     cands = mixture.candidates(_weighed(spark, sf_dir))
-    picked, limit = mixture.cover(cands, table(spark, sf_dir, "orders").count(), 0.02, 10.0)
+    picked, limit = mixture.cover(cands, table(spark, sf_dir, "orders").count(), 0.0001, 12.0)
     return spark.createDataFrame([(i, t, float(s), float(limit)) for i, (t, s) in enumerate(picked)], "place int, tax_id long, support double, read_limit double")
 
 
@@ -340,7 +340,7 @@ def abundance_profile(spark, sf_dir):
     n_reads = table(spark, sf_dir, "orders").count()
     addresses = mapping.addresses(spark, sf_dir)
     cands = checkpoint(mixture.candidates(scored))
-    picked, limit = mixture.cover(cands, n_reads, 0.02, 10.0)
+    picked, limit = mixture.cover(cands, n_reads, 0.0001, 12.0)
     chosen = spark.createDataFrame([(t,) for t, _ in picked], "tax_id long")
     shares = mixture.mixture(mixture.qmatrix(cands, chosen), iterations=60, tolerance=1e-6)
     assigned = checkpoint(mixture.assign(scored, spark.createDataFrame(list(shares.items()), "tax_id long, x double"), addresses, n_reads, limit))
@@ -413,7 +413,7 @@ def _sketches(spark, sf_dir):
 
 @query(f"WITH {SKETCHES} SELECT doc_id, len(hs) AS n_hashes, hs[1] AS least, hs[-1] AS largest FROM lists")
 def kmer_sketches(spark, sf_dir):
-    return _sketches(spark, sf_dir).where("size(hashes) > 0").select("doc_id", F.size("hashes").cast("long").alias("n_hashes"), F.element_at("hashes", 1).alias("least"), F.element_at("hashes", -1).alias("largest"))
+    return _sketches(spark, sf_dir).where(F.col("size") >= K).select("doc_id", F.size("hashes").cast("long").alias("n_hashes"), F.element_at("hashes", 1).alias("least"), F.element_at("hashes", -1).alias("largest"))
 
 
 @query(f"WITH {NEAREST} SELECT doc_id, parent, round(dist, 6) AS dist FROM nearest")
