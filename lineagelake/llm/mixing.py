@@ -40,21 +40,23 @@ class Mix:
 
 
 def tokens_of(text: Column) -> Column:
-    """Tokens counted as words and single ASCII marks."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[A-Za-z0-9\x80-\x{10FFFF}]+|[!-/:-@\[-`{-~]")), F.lit(0)).cast("long")
+    """Tokens counted as words and single marks, of any script."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")), F.lit(0)).cast("long")
 
 
 def topic_of(text: Column, n_tokens: Column) -> Column:
     """A coarse topic from surface marks of the whole text; without tokens: none."""
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    # The patterns need one of these strings, which are cheaper to look for.
     low = F.lower(text)
-    legal = [F.contains(low, F.lit(x)) for x in ("license", "licence", "copyright", "all rights reserved")]
-    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
+    legal = F.contains(low, F.lit("licen")) | F.contains(low, F.lit("all rights reserved")) | F.contains(low, F.lit("copyright"))
+    bars = (F.length(text) - F.length(F.replace(text, F.lit(" | "), F.lit("")))) / 3
     return (
         F.when(n_tokens == 0, "none")
-        .when(legal[0] | legal[1] | legal[2] | legal[3], "legal")
-        .when(bars * 8 > n_tokens, "tabular")
-        .when(n_tokens < 70, "brief")
-        .when(n_tokens < 700, "article")
+        .when(legal & text.rlike(r"(?i)\b(licen[cs]e|all rights reserved|copyright)\b"), "legal")
+        .when(bars * 4 > words, "tabular")
+        .when(words < 60, "brief")
+        .when(words < 600, "article")
         .otherwise("long")
     )
 

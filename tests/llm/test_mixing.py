@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -64,3 +67,34 @@ def test_edge_rows(spark):
     assert not any(r.kept for r in got if r.doc_id in (1, 2)) and len({r.kept for r in got if r.doc_id == 4}) == 1
     assert mixing.sample(df).columns == df.columns
     assert mixing.assign(df.limit(0)).count() == 0
+
+
+def plain_tokens(text):
+    n, inside = 0, False
+    for c in text or "":
+        word = unicodedata.category(c)[0] in "LN"
+        n += not inside if word else c not in " \t\n\x0b\f\r"
+        inside = word
+    return n
+
+
+def plain_topic(text):
+    words = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    if not words:
+        return "none"
+    if re.search(r"\b(licen[cs]e|all rights reserved|copyright)\b", text, re.I):
+        return "legal"
+    if text.count(" | ") * 4 > words:
+        return "tabular"
+    return "brief" if words < 60 else "article" if words < 600 else "long"
+
+
+def test_tokens_and_topics_of_any_script(spark):
+    texts = ["今天天气很好。" * 800, "「你好」，世界。", "«Où est-il ?» “Là—bas”…", "a\u00a0b\u3000c", "naïve café №5 ٣٤ Ⅷ", "Привет, мир! " * 50, "the licensee has a copyrighted work", "the LICENSE of it", "Copyright 2020"]
+    texts += ["a | b | c | d", "a|b|c|d|e|f|g|h", "x, " * 40, "w " * 59, "w " * 60, "w. " * 599, "w " * 600, " \n", "", None]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(t,) for t in texts] + [(r.text,) for r in docs.select("text").collect()]
+    df = spark.createDataFrame(rows, "text string").withColumn("n", mixing.tokens_of(F.col("text")))
+    for r in df.withColumn("topic", mixing.topic_of(F.col("text"), F.col("n"))).collect():
+        assert (r.n, r.topic) == (plain_tokens(r.text), plain_topic(r.text)), (r.text or "")[:60]
+    assert plain_tokens(texts[0]) == 1600
