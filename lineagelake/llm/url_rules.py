@@ -5,13 +5,16 @@ pruned by confidence, support and redundancy, and put into an inverted index by
 tokens; URLs meet the index by their own tokens, and the other tokens of a rule are then
 looked for in the URL.
 
-Scale: URLs are judged once each, however often a page repeats one. FP-growth's frequent
-items are at most (tokens a URL) / min_support. The index join is an ordinary shuffle or
-broadcast join of Spark's choice; a token that most URLs have is split by AQE.
+Scale: URLs are judged once each, however often a page repeats one. Frequent tokens are at
+most (tokens a URL) / min_support; those that stand in the same URLs are mined as one, and
+sets with an implied token are not made, so deep paths that many URLs share cost no more
+than short ones. The index join is an ordinary join of Spark's choice; a token that most
+URLs have is split by AQE.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -34,7 +37,8 @@ BLOCK, ALLOW = "=block", "=allow"
 
 @dataclass(frozen=True)
 class Mining:
-    """Support as a share of labelled URLs and as a count; confidence; most tokens a rule."""
+    """Least share and least number of labelled URLs that a rule blocks rightly; least
+    confidence; most tokens a rule (1 to 3)."""
 
     min_support: float = 0.005
     min_count: int = 20
@@ -77,36 +81,94 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.when(F.length(host) > 0, F.array_distinct(F.concat(suffixes, words, places, ending, names))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """labelled (tokens array<string>, blocked boolean): rules (tokens, confidence, support,
-    anchor), the anchor being the token that fewest labelled URLs have.
-
-    A rule is left out if it is no surer than one that lacks one of its tokens."""
-    items = labelled.select(F.array_append("tokens", F.when(F.col("blocked"), BLOCK).otherwise(ALLOW)).alias("items"))
-    n = items.count()
-    if not n:
-        return labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double, anchor string")
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence, numPartitions=parts).fit(items)
-    found = model.associationRules.where(
-        (F.col("consequent") == F.array(F.lit(BLOCK))) & ~F.array_contains("antecedent", ALLOW) & (F.size("antecedent") <= mining.max_tokens) & (F.col("support") * n >= mining.min_count)
-    )
-    rules = checkpoint(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
-    shorter = rules.select("tokens", "confidence", F.explode("tokens").alias("without")).select("tokens", "confidence", F.array_remove("tokens", F.col("without")).alias("part"))
+def _classes(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, class): tokens of at least `least` blocked URLs; those that stand in the same
+    labelled URLs are one class, named by the least of them. No rule needs two of a class."""
+    each = labelled.select(F.xxhash64(F.col("tokens"), F.col("_row")).alias("u"), "blocked", F.explode("tokens").alias("token"))
+    where = F.struct(F.count("*").alias("n"), F.bit_xor("u").alias("x"), F.sum(F.xxhash64("u").cast("decimal(38,0)")).alias("s"))
+    held = each.groupBy("token").agg(where.alias("where"), F.sum(F.col("blocked").cast("long")).alias("bad")).where(F.col("bad") >= least)
+    named = held.groupBy("where").agg(F.min("token").alias("class"))
+    return checkpoint(held.join(named, "where").select("token", "class"))
+
+
+def _combinations(labelled: DataFrame, least: int, most: int) -> DataFrame:
+    """labelled (_row, blocked, tokens: distinct classes, sorted): (items) with one row for
+    each set of at most `most` classes of a URL, to which its size and the label are added.
+
+    A set with two classes of which one implies the other is as sure without the implied one,
+    and a set with a part in fewer than `least` blocked URLs can't reach that count, so
+    neither is made. Sets are streamed by generators, no row holds all of its own."""
+    label = F.when(F.col("blocked"), BLOCK).otherwise(ALLOW)
+    single = labelled.select("_row", label.alias("label"), F.posexplode("tokens").alias("i", "a"), "tokens")
+    out = single.select(F.array("a", F.lit("=1"), "label").alias("items"))
+    if most < 2:
+        return out
+    pairs = single.select("_row", "label", "a", F.explode(F.slice("tokens", F.col("i") + 2, F.size("tokens"))).alias("b"))
+    alone = single.groupBy("a").agg(F.count("*").alias("n"))
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum((F.col("label") == BLOCK).cast("long")).alias("bad")).where(F.col("bad") >= least)
+    counted = counted.join(alone.select("a", F.col("n").alias("na")), "a").join(alone.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b")
+    free = checkpoint(counted.where("n < na and n < nb").select("a", "b"))
+    pairs = pairs.join(free, ["a", "b"])
+    out = out.unionByName(pairs.select(F.array("a", "b", F.lit("=2"), "label").alias("items")))
+    if most < 3:
+        return out
+    met = pairs.groupBy("_row", "label").agg(F.collect_list(F.struct("a", "b")).alias("ps"))
+    first = met.select("label", "ps", F.explode("ps").alias("p"))
+    third = F.transform(F.filter("ps", lambda q: (q["a"] == F.col("p.a")) & (q["b"] > F.col("p.b"))), lambda q: q["b"])
+    triples = first.select("label", "ps", "p", F.explode(third).alias("c")).where(F.array_contains("ps", F.struct(F.col("p.b").alias("a"), F.col("c").alias("b"))))
+    return out.unionByName(triples.select(F.array("p.a", "p.b", "c", F.lit("=3"), "label").alias("items")))
+
+
+def mine(labelled: DataFrame, mining: Mining = Mining()) -> tuple[DataFrame, DataFrame]:
+    """labelled (tokens array<string>, blocked boolean): (rules (tokens, confidence, support,
+    anchor), classes (token, class)). A rule's tokens are classes, the anchor the one that
+    fewest labelled URLs have; a URL has a class if it has one of its tokens.
+
+    A rule is left out if it is no surer than one that lacks one of its tokens. FP-growth
+    itself knows no longest set, and k tokens that often stand together are 2^k sets. So its
+    transactions are the sets of at most `max_tokens` classes (see _combinations), each with
+    an item for its size: a set and its size item are then counted once a URL."""
+    spark = labelled.sparkSession
+    if not 1 <= mining.max_tokens <= 3:
+        raise ValueError("max_tokens must be 1 to 3")
+    # Equal rows need names of their own; the number only tells them apart.
+    rows = checkpoint(labelled.select("tokens", "blocked", F.monotonically_increasing_id().alias("_row")))
+    n = rows.count()
+    least = max(mining.min_count, math.ceil(mining.min_support * n), 1)
+    classes = _classes(rows, least)
+    each = rows.select("_row", "blocked", F.explode("tokens").alias("token")).join(classes, "token")
+    kept = checkpoint(each.groupBy("_row").agg(F.first("blocked").alias("blocked"), F.array_sort(F.collect_set("class")).alias("tokens")))
+    items = checkpoint(_combinations(kept, least, mining.max_tokens))
+    total = items.count()
+    none = spark.createDataFrame([], "tokens array<string>, confidence double, support double, anchor string")
+    if not total:
+        return none, classes
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=mining.min_confidence, numPartitions=parts).fit(items)
+    size = F.filter("antecedent", lambda x: x.rlike("^=[0-9]$"))
+    tokens = F.array_sort(F.filter("antecedent", lambda x: ~x.rlike("^=")))
+    found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & ~F.array_contains("antecedent", ALLOW))
+    found = found.select(tokens.alias("tokens"), size.alias("size"), "confidence", (F.round(F.col("support") * total) / n).alias("support"))
+    rules = checkpoint(found.where(F.col("size") == F.array(F.concat(F.lit("="), F.size("tokens").cast("string")))).drop("size"))
+    parts_of = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).select("tokens", "confidence", F.explode(F.array(F.array("t"), F.array_remove("tokens", F.col("t")))).alias("part"))
     simple = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
-    needless = shorter.join(simple, "part").where("sure >= confidence").select("tokens").distinct()
-    kept = rules.join(needless, "tokens", "left_anti")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
-    anchors = kept.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    return kept.join(anchors, "tokens")
+    needless = parts_of.where(F.size("part") < F.size("tokens")).join(simple, "part").where("sure >= confidence").select("tokens").distinct()
+    sure = rules.join(needless, "tokens", "left_anti")
+    single = kept.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
+    anchors = sure.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
+    return checkpoint(sure.join(anchors, "tokens")), classes
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def match(urls: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
     """urls (url, tokens): (url, mined, confidence), the surest rule of each URL that has one.
 
-    The index has each rule under its anchor."""
-    index = rules.select(F.col("anchor").alias("token"), F.col("tokens").alias("rule"), "confidence")
-    met = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("rule", "tokens")) == 0)
+    The index has each rule under its anchor. Only classes that some rule names are looked
+    up, so a URL brings few rows."""
+    named = rules.select(F.explode("tokens").alias("class")).distinct()
+    known = classes.join(named, "class", "left_semi")
+    held = urls.select("url", F.explode("tokens").alias("token")).join(known, "token").groupBy("url").agg(F.collect_set("class").alias("held"))
+    index = rules.select(F.col("anchor").alias("class"), F.col("tokens").alias("rule"), "confidence")
+    met = held.select("url", "held", F.explode("held").alias("class")).join(index, "class").where(F.size(F.array_except("rule", "held")) == 0)
     best = F.max(F.struct("confidence", F.array_join("rule", " ").alias("mined")))
     return met.groupBy("url").agg(best.alias("b")).select("url", "b.mined", "b.confidence")
 
@@ -116,19 +178,20 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, mining: Mining = Min
     rule, verdict, mined and confidence for each row of pages.
 
     The given rule's verdict stands; else `block` if a mined rule is met; else `allow`.
-    What a given rule says of a page's URL is a label too, before the given labels; a URL
-    with labels for both is blocked. Null URLs and such without `://` have an empty host
-    and path and are allowed. Repeated rows stay repeated; other columns are not read. An
-    empty table gives no rows.
+    Rules are mined from the given labels alone, of all URLs that have one; what a fixed rule
+    says is no label, so it is not learnt back. A URL with labels for both is blocked. Null
+    URLs and such without `://` have an empty host and path and are allowed. Repeated rows
+    stay repeated; other columns are not read. An empty table gives no rows.
     """
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
     urls = rows.where("url is not null").groupBy("url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("_r.verdict").alias("ruled"))
     urls = checkpoint(urls.select("url", "ruled", tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens")))
-    given = labels.where("url is not null and blocked is not null").groupBy("url").agg(F.max("blocked").alias("given"))
-    known = urls.join(given, "url", "left").select("tokens", F.coalesce(F.col("ruled") == "block", "given").alias("blocked"))
-    found = match(urls.where("ruled is null"), mine(known.where("blocked is not null and size(tokens) > 0"), mining))
+    given = labels.where("url is not null and blocked is not null").groupBy("url").agg(F.max("blocked").alias("blocked"))
+    known = urls.where(F.size("tokens") > 0).join(given, "url").select("tokens", "blocked")
+    rules_found, classes = mine(known, mining)
+    found = match(urls.where("ruled is null"), rules_found, classes)
     keyed = found.withColumn("key", F.xxhash64("url"))
     out = rows.withColumn("key", F.xxhash64("url")).join(own_exchange(keyed, "key"), ["key", "url"], "left")
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("mined").isNotNull(), "block").otherwise("allow"))

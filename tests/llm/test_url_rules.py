@@ -1,4 +1,6 @@
-from itertools import combinations
+import random
+import time
+from itertools import combinations, product
 
 from pyspark.sql import functions as F
 
@@ -28,14 +30,15 @@ def plain_mine(rows, m):
                 a, b = count.get(c, (0, 0))
                 count[c] = (a + 1, b + blocked)
     good = {c: b / a for c, (a, b) in count.items() if b >= max(m.min_count, m.min_support * n) and b / a >= m.min_confidence}
-    return {c: x for c, x in good.items() if not any(good.get(tuple(t for t in c if t != w), -1) >= x for w in c)}
+    parts = lambda c: (p for k in range(1, len(c)) for p in combinations(c, k))
+    return {c: x for c, x in good.items() if not any(good.get(p, -1) >= x for p in parts(c))}
 
 
 def test_pages_match_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     labels = pages.select("url", (F.col("page_id") % 5 == 0).alias("blocked"))
-    mining = ur.Mining(min_support=0.02, min_count=4)
+    mining = ur.Mining(min_support=0.02, min_count=4, min_confidence=0.3)
     got = ur.judge(pages, labels, mining=mining).collect()
     assert len(got) == pages.count()
     rows = {}
@@ -43,10 +46,8 @@ def test_pages_match_brute_force(spark):
         rows[r.page_id] = r
     known = {}
     for i, r in rows.items():
-        ruled = plain_base(r.url)[3]
-        b = ruled == "block" if ruled else i % 5 == 0
-        known[r.url] = (r.t, b if ruled else known.get(r.url, (0, False))[1] or b)
-    rules = plain_mine(list(known.values()), mining)
+        known[r.url] = (r.t, known.get(r.url, (0, False))[1] or i % 5 == 0)
+    rules = plain_mine([x for x in known.values() if x[0]], mining)
     for r in got:
         host, path, rule, verdict = plain_base(rows[r.page_id].url)
         assert (r.host, r.path, r.rule) == (host, path, rule)
@@ -67,3 +68,43 @@ def test_edge_rows(spark):
             host, path, rule, verdict = plain_base((urls + urls)[r.page_id])
             assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or "allow")
     assert ur.judge(df.limit(0), labels.limit(0)).count() == 0
+
+
+def mined(spark, rows, mining):
+    df = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    rules, classes = ur.mine(df, mining)
+    members = {}
+    for r in classes.collect():
+        members.setdefault(r["class"], []).append(r.token)
+    out = {}
+    for r in rules.collect():
+        assert r.anchor in r.tokens
+        for c in product(*[members[t] for t in r.tokens]):
+            out[tuple(sorted(c))] = r.confidence
+    return out
+
+
+def test_mined_rules_match_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        tokens = [f"t{i}" for i in range(9) if rng.random() < 0.5] + [f"deep{i}" for i in range(rng.choice([0, 2, 5]))]
+        bad = ("t1" in tokens and "t2" in tokens and "t3" in tokens) or ("t4" in tokens and "t5" in tokens) or rng.random() < 0.1
+        rows.append((tokens, bad))
+    for most in (1, 2, 3):
+        m = ur.Mining(min_support=0.01, min_count=5, min_confidence=0.7, max_tokens=most)
+        want = plain_mine(rows, m)
+        got = mined(spark, rows, m)
+        assert set(got) == set(want) and all(abs(got[c] - x) < 1e-9 for c, x in want.items())
+    assert any(len(c) == 3 for c in want) and any(len(c) == 2 for c in want)
+
+
+def test_deep_shared_paths(spark):
+    """Thirty tokens that always stand together, and thirty of which each implies the last."""
+    same = [f"s{i}" for i in range(30)]
+    rows = [(same, True)] * 60 + [([f"n{i}" for i in range(k)], k > 15) for k in range(1, 31) for _ in range(2)] + [(["other"], False)] * 40
+    m = ur.Mining(min_support=0.01, min_count=2, max_tokens=3)
+    began = time.time()
+    got = mined(spark, rows, m)
+    assert time.time() - began < 60
+    assert got == plain_mine(rows, m)
