@@ -31,13 +31,21 @@ CACHE = 500_000
 
 @dataclass(frozen=True)
 class Band:
-    """What is kept, ends included. Entropy is taken as a share of the most that as many
-    tokens could have, so that it compares short texts with long ones."""
+    """What is kept, ends included, by three measures of the vocabulary.
 
-    chars_per_token: tuple[float, float] = (1.0, 8.0)
-    max_byte_share: float = 0.30
-    min_entropy_share: float = 0.50
-    max_symbols_per_word: float = 0.3
+    Characters a token: at most `most_chars`, and less than the usual value by no more than
+    chars_slack / sqrt(tokens) or `least_slack`, whichever is more, since short texts vary
+    more. Bits of entropy a token: within `entropy_slack` (below, above) of what is usual
+    for a text of so many tokens, a + b x + c x^2 with x = log2(tokens), at most TOP. Byte
+    fallbacks: at most a share of the tokens."""
+
+    chars_per_token: float
+    entropy: tuple[float, float, float]
+    entropy_slack: tuple[float, float] = (0.30, 1.5)
+    max_byte_share: float = 0.10
+    chars_slack: float = 6.0
+    least_slack: float = 0.15
+    most_chars: float = 8.0
 
 
 @dataclass(frozen=True)
@@ -49,16 +57,19 @@ class Rules:
     by_script: dict[str, Band] = field(default_factory=lambda: dict(SCRIPT_BANDS))
 
 
-# Fixed values, chosen on the measured spread of labelled prose; both ends are kept.
+TOP = 12.0  # log2 of the tokens beyond which the usual entropy stays
+# Usual characters a token and curves of entropy, fitted to labelled prose of
+# each language by least squares. The slack below the curve is beyond all labelled prose.
 BANDS = {
-    "en": Band((1.60, 8.0), min_entropy_share=0.54),
-    "de": Band((1.70, 8.0), min_entropy_share=0.53),
-    "fr": Band((1.45, 8.0), min_entropy_share=0.53),
-    "es": Band((1.55, 8.0), min_entropy_share=0.54),
+    "en": Band(2.218, (0.863, 1.012, -0.042)),
+    "de": Band(2.241, (1.416, 0.892, -0.038)),
+    "fr": Band(1.980, (1.983, 0.773, -0.032), (0.37, 1.5)),
+    "es": Band(1.941, (1.337, 0.907, -0.038), (0.33, 1.5)),
 }
+# By script, for other languages: wider, since it holds for many.
 SCRIPT_BANDS = {
-    "latin": Band((1.4, 8.0)),
-    "other": Band((0.3, 8.0), max_byte_share=0.9),
+    "latin": Band(2.0, (1.3, 0.9, -0.038), (1.0, 3.0), max_byte_share=0.2, least_slack=0.8),
+    "other": Band(0.9, (1.3, 0.9, -0.038), (2.5, 5.0), max_byte_share=0.9, least_slack=0.7),
 }
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_byte_tokens long, token_entropy double, latin_share double"
 
@@ -194,16 +205,24 @@ def measure(docs: DataFrame, model: str, carry: list[str], window: int = 8) -> D
     return docs.select(text, *[docs[f.name] for f in fields]).mapInArrow(run, out)
 
 
-def _in_band(band: Band) -> F.Column:
+def within(band: Band) -> dict[str, F.Column]:
+    """What each measure says of a text: by characters a token, byte fallbacks, entropy."""
     m = lambda x: F.col(f"{COLUMN}.{x}")
-    fertility = m("word_chars") / m("n_tokens")
-    most = F.log2(F.least(m("n_tokens"), F.lit(4096)).cast("double"))
-    return (
-        fertility.between(*band.chars_per_token)
-        & (m("n_byte_tokens") <= band.max_byte_share * m("n_tokens"))
-        & (m("token_entropy") >= band.min_entropy_share * most)
-        & (m("n_symbols") <= band.max_symbols_per_word * m("n_words"))
-    )
+    n = m("n_tokens").cast("double")
+    x = F.least(F.log2(n), F.lit(TOP))
+    a, b, c = band.entropy
+    usual = a + b * x + c * x * x
+    low = band.chars_per_token - F.greatest(F.lit(band.least_slack), band.chars_slack / F.sqrt(n))
+    return {
+        "characters": (m("word_chars") / n).between(low, F.lit(band.most_chars)),
+        "bytes": m("n_byte_tokens") <= band.max_byte_share * n,
+        "entropy": (m("token_entropy") - usual).between(-band.entropy_slack[0], band.entropy_slack[1]),
+    }
+
+
+def _in_band(band: Band) -> F.Column:
+    x = within(band)
+    return x["characters"] & x["bytes"] & x["entropy"]
 
 
 def judge(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -211,10 +230,10 @@ def judge(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
     m = lambda x: F.col(f"{COLUMN}.{x}")
     failed = (m("n_words") < rules.min_words) | (100 * m("n_repeat_words") > rules.max_repeat_percent * m("n_words"))
     script = F.when(m("latin_share") >= 0.5, _in_band(rules.by_script["latin"])).otherwise(_in_band(rules.by_script["other"]))
-    within = script
+    inside = script
     for lang, band in rules.bands.items():
-        within = F.when(F.col("lang") == lang, _in_band(band)).otherwise(within)
-    return measured.withColumn("base_failed", failed).withColumn("kept", F.when(failed, False).otherwise(F.coalesce(within, F.lit(False))))
+        inside = F.when(F.col("lang") == lang, _in_band(band)).otherwise(inside)
+    return measured.withColumn("base_failed", failed).withColumn("kept", F.when(failed, False).otherwise(F.coalesce(inside, F.lit(False))))
 
 
 def score(docs: DataFrame, model: str, rules: Rules = Rules()) -> DataFrame:

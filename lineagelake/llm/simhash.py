@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineagelake.llm.graph import components
@@ -51,15 +51,41 @@ def simhash(raw: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): one row for each row of docs, fp the fingerprint as a signed long."""
+    """(doc_id, fp, text_hash): one row for each row of docs, fp the fingerprint as a signed
+    long, text_hash what tells rows of one id with different texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             fps = np.fromiter((simhash(t or b"", shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), text_hash(text).alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs as (row, doc_id, text): all columns in one struct, so that no name can clash, and
+    an id for each row; a row without one takes it from its text, above 2^62."""
+    text = F.col("text").cast("string")
+    anonymous = F.lit(1 << 62) + text_hash(text).bitwiseAND(F.lit((1 << 62) - 1))
+    return docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), anonymous).alias("doc_id"), text.alias("text"))
+
+
+def first_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (row, doc_id, text) and found (doc_id, text_hash, root) of them: the row of each
+    component with the least id, of several the least text hash, then the least row.
+
+    One (id, text hash) is chosen a component, by pre-aggregated minima, so rows of one id
+    with different texts are chosen each for its own component and no component is lost."""
+    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("c")).select("c.*").distinct()
+    placed = rows.select("row", "doc_id", text_hash(F.col("text")).alias("text_hash"))
+    kept = placed.join(own_exchange(chosen, "doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
+    return kept.groupBy("doc_id", "text_hash").agg(F.min("row").alias("row")).select("row.*")
 
 
 def segments(bits: int, pieces: int, radius: int) -> list[tuple[int, int, int]]:
@@ -182,6 +208,19 @@ def links(distinct: DataFrame, radius: int = 4, pieces: int = 3) -> DataFrame:
     return pairs.mapInArrow(_verify(radius), "u long, v long")
 
 
+def classes(docs: DataFrame, shingle: int = 4, radius: int = 4, pieces: int = 3) -> DataFrame:
+    """docs (doc_id, text, ...): (doc_id, fp, text_hash, root, component_id), see near_duplicates.
+    Where rows of one id have different texts, two components can have one component_id;
+    root tells them apart."""
+    fps = checkpoint(fingerprints(docs, shingle))
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = components(links(first.select("fp"), radius, pieces))
+    with_root = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = with_root.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_fp = with_root.select("fp", "root").join(own_exchange(least, "root"), "root").select("fp", "root", "component_id")
+    return fps.join(own_exchange(of_fp, "fp"), "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, pieces: int = 3) -> DataFrame:
     """docs (doc_id, text, ...): (doc_id, fp, component_id), one row for each row of docs.
 
@@ -191,24 +230,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, pieces:
     id and take the component of their fingerprint (null if no row of it has an id). Other
     columns are not read, so clashing names can't matter. An empty table gives no rows.
     """
-    fps = checkpoint(fingerprints(docs, shingle))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(first.select("fp"), radius, pieces))
-    with_root = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = with_root.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = with_root.select("fp", "root").join(own_exchange(least, "root"), "root").select("fp", "component_id")
-    return fps.join(own_exchange(of_fp, "fp"), "fp").select("doc_id", "fp", "component_id")
+    return classes(docs, shingle, radius, pieces).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4, pieces: int = 3) -> DataFrame:
     """One row of each group of near duplicates, with the columns of docs: the one with the
-    smallest doc_id; of several rows with that id, the least by its columns in order.
-
-    A row without an id takes one from its text, above all ids up to 2^62, so it stays only
-    where no row of its group has an id. Columns must be orderable (no maps)."""
-    anonymous = F.lit(1 << 62) + F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), anonymous))
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle, radius, pieces)
-    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    rows = keyed.join(chosen, "_key", "left_semi").select("_key", F.struct(*docs.columns).alias("_row"))
-    return rows.groupBy("_key").agg(F.min("_row").alias("_row")).select("_row.*")
+    smallest doc_id; of several rows with that id, the least text hash, then the least row
+    by its columns in order.
+
+    Rows of one id with different texts belong each to its own group. A row without an id
+    takes one from its text, above all ids up to 2^62, so it stays only where no row of its
+    group has an id. Columns may have any names, but must be orderable (no maps)."""
+    rows = keyed(docs)
+    found = classes(rows.select("doc_id", "text"), shingle, radius, pieces)
+    return first_rows(rows, found)

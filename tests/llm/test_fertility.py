@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -26,8 +27,20 @@ def plain(text):
     }
 
 
+def plain_kept(lang, text, m):
+    """The verdict past the base rules, by tokeniser measures alone."""
+    n = m["n_tokens"]
+    letters = sum(c.isascii() and c.isalpha() for c in text)
+    band = fertility.BANDS.get(lang) or fertility.SCRIPT_BANDS["latin" if letters >= 0.5 * max(1, m["word_chars"]) else "other"]
+    x = min(math.log2(n), 12)
+    a, b, c = band.entropy
+    off = m["token_entropy"] - (a + b * x + c * x * x)
+    low = band.chars_per_token - max(band.least_slack, band.chars_slack / math.sqrt(n))
+    return low <= m["word_chars"] / n <= 8 and m["n_byte_tokens"] <= band.max_byte_share * n and -band.entropy_slack[0] <= off <= band.entropy_slack[1]
+
+
 def check(spark, df):
-    rows = df.select("doc_id", "text").collect()
+    rows = df.select("doc_id", "text", "lang").collect()
     found = {}
     for r in fertility.score(df, MODEL).collect():
         found.setdefault(r.doc_id, []).append(r)
@@ -38,7 +51,7 @@ def check(spark, df):
             got["token_entropy"], want["token_entropy"] = round(got["token_entropy"] + 0.0, 5), round(want["token_entropy"] + 0.0, 5)
             assert got == want
             assert g.base_failed == (want["n_words"] < 20 or 100 * want["n_repeat_words"] > 30 * want["n_words"])
-            assert not (g.base_failed and g.kept) and g.kept is not None
+            assert g.kept == (not g.base_failed and plain_kept(r.lang, r.text, want))
     return found
 
 
@@ -59,9 +72,29 @@ def test_edge_rows(spark):
 
 
 def test_labels_agree(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    rows = fertility.score(docs, MODEL).join(labels, "doc_id").select("kept", "quality").collect()
+    """Of labelled prose all is kept, and of labelled junk that passes the base rules most goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = fertility.score(docs, MODEL).join(labels, "doc_id").where("not base_failed").select("kept", "quality").collect()
     good = [r.kept for r in rows if r.quality == 1]
     bad = [r.kept for r in rows if r.quality == 0]
-    assert sum(good) >= 0.9 * len(good) and sum(bad) <= 0.3 * len(bad)
+    assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_planted_text(spark):
+    """Each measure rejects by itself: bytes, crumbs, and text of few tokens."""
+    prose = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1"), "doc_id").where("lang = 'en' and n_chars > 900").orderBy("doc_id").first().text
+    words = prose.split()
+    rng = random.Random(8)
+    rare = [chr(c) for c in range(0x13000, 0x13400)]
+    crumbs = " ".join("".join(rng.choices("qxzjvkw", k=7)) for _ in range(300))
+    rows = [
+        (1, prose, "en"), (2, " ".join(w if i % 3 else "".join(rng.choices(rare, k=3)) for i, w in enumerate(words)), "en"), (3, crumbs, "en"),
+        (4, " ".join(rng.choice(["the", "of"]) if i % 2 else w for i, w in enumerate(words)), "en"), (5, " ".join(x for w in words for x in (w, "|")), "en"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    check(spark, df)
+    measured = fertility.measure(df, MODEL, ["doc_id"])
+    says = {r.doc_id: r for r in measured.select("doc_id", *[c.alias(k) for k, c in fertility.within(fertility.BANDS["en"]).items()]).collect()}
+    assert all(says[1][1:]) and not says[2].bytes and not says[3].characters and not says[4].entropy and not says[5].entropy
+    assert says[4].characters and says[4].bytes and says[5].bytes

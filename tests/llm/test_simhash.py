@@ -3,7 +3,7 @@ import re
 
 import xxhash
 
-from lineagelake.llm import graph, simhash
+from lineagelake.llm import graph, jaccard, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -92,3 +92,14 @@ def test_components_of_a_chain(spark):
     found = {r.node: r.root for r in graph.components(df).collect()}
     assert found == {i: 0 for i in range(1, 101)} | {501: 500}
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """No group is lost and none stays twice, whatever ids its rows have."""
+    zeta, alpha, beta = ("zeta eta theta iota kappa lamda", "alpha beta gamma delta epsilon", "one two three four five six")
+    rows = [(5, zeta, "a"), (5, alpha, "b"), (3, alpha, "c"), (5, beta, "d"), (5, beta, "d"), (7, zeta, "e"), (None, beta, "f"), (None, "nine ten eleven twelve", None), (None, "nine ten eleven twelve", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string").selectExpr("*", "1 as row", "2 as root", "3 as text_hash", "4 as fp")
+    for keep in (simhash.keep_one, jaccard.keep_one):
+        got = sorted(((r.doc_id, r.text, r._key) for r in keep(df).collect()), key=str)
+        assert got == sorted([(3, alpha, "c"), (5, zeta, "a"), (5, beta, "d"), (None, "nine ten eleven twelve", None)], key=str)
+        assert keep(df).columns == df.columns and keep(df.limit(0)).count() == 0
