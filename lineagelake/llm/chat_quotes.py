@@ -2,14 +2,16 @@
 
 A message's lines carry nested quote marks. Runs of lines of one level are passages; quoted
 passages are hashed in a normal form and joined to the messages of the same conversation
-that first said them. The links make a reply tree, and conversations are built in reply
-order from what is left without quotes.
+that first said them. A quoted passage is asked for whole, and where nobody said it so, by
+its paragraphs, and then by its lines, so that a quote of a part is linked too. The links
+make a reply tree, and conversations are built in reply order from what is left without
+quotes.
 
-Scale: originals are first cut to one row for each conversation and passage (an ordinary
+Scale: what is said is first cut to one row for each conversation and hash (an ordinary
 pre-aggregated minimum), so a passage that is repeated or quoted thousands of times is
 joined row by row, never pair by pair. Reply threads are found by pointer jumping, a
 logarithmic number of joins, and every output is one row a message: no conversation, however
-long, is gathered into one task.
+long, is gathered into one task. A message takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from lineagelake.session import checkpoint, own_exchange
 
 _MARKS = r"^[ \t]*((?:>[ \t]?)*)"
-_SHORTEST = 8  # characters a passage must have in normal form to be linked
+_SHORT = 8  # characters; shorter passages are linked only where one earlier message alone said them
 
 
 def normal(text: Column) -> Column:
@@ -40,75 +42,96 @@ def lines_of(text: Column) -> Column:
 
 
 def passages_of(lines: Column) -> Column:
-    """array<struct(level, text)>: runs of lines of one level, in order."""
-    start = F.array().cast("array<struct<level:int,text:string>>")
+    """array<struct(level, text)>: runs of lines of one level, in order.
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(x["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["line"]).alias("text"))
-        fresh = F.struct(x["level"].alias("level"), x["line"].alias("text"))
-        joins = (F.size(acc) > 0) & (last["level"] == x["level"])
-        return F.when(joins, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), grown)).otherwise(F.array_append(acc, fresh))
+    Lines hold no line feed, so a line feed and a sign can stand between them: = where a run
+    begins, + inside it; the runs are what stands between the = signs."""
 
-    return F.aggregate(lines, start, step)
+    def cut(at: Column) -> Column:
+        begins = lambda x, i: (i == 0) | (F.get(at, i - 1)["level"] != x["level"])
+        joined = F.array_join(F.transform(at, lambda x, i: F.concat(F.when(begins(x, i), F.lit("\n=")).otherwise("\n+"), x["line"])), "")
+        parts = F.slice(F.split(joined, "\n=", -1), F.lit(2), F.size(at))
+        levels = F.filter(F.transform(at, lambda x, i: F.when(begins(x, i), x["level"])), lambda x: x.isNotNull())
+        return F.zip_with(levels, parts, lambda n, t: F.struct(n.alias("level"), F.replace(t, F.lit("\n+"), F.lit("\n")).alias("text")))
+
+    # Bound here: the optimiser may put the lines' expression in place of their column, and
+    # would then work it out again for each line.
+    return F.element_at(F.transform(F.array(lines), cut), 1)
 
 
 def _key(messages: DataFrame) -> DataFrame:
-    """One row for each (conv_id, turn): of several the least role and text, so that a
-    repeated row is one message."""
+    """One row for each different message: repeated rows are one, and different ones of one
+    (conv_id, turn) are told apart by `variant`, a hash of role and text."""
     rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = rows.where("conv_id is not null and turn is not null")
-    return known.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select("conv_id", "turn", "m.*")
+    known = rows.where("conv_id is not null and turn is not null").distinct()
+    return known.withColumn("variant", F.xxhash64("role", "text"))
+
+
+def _paragraphs(text: Column) -> Column:
+    return F.split(text, r"\n[ \t]*\n")
 
 
-def _units(text: Column) -> Column:
-    """Normal forms under which an own passage can be quoted: whole, by paragraph, by line."""
-    parts = F.concat(F.array(text), F.split(text, r"\n[ \t]*\n"), F.split(text, "\n"))
-    return F.array_distinct(F.filter(F.transform(parts, normal), lambda x: F.length(x) >= _SHORTEST))
+def _forms(texts: Column) -> Column:
+    """Normal forms that are not empty."""
+    return F.array_distinct(F.filter(F.transform(texts, normal), lambda x: x != ""))
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, content, n_quotes, n_linked, parent): content is the message
-    without quoted lines; parent the latest earlier turn that first said one of its quoted
-    passages, null if none is found."""
-    split = _key(messages).withColumn("_p", passages_of(lines_of(F.col("text"))))
-    quoted = lambda p: F.filter(p, lambda x: x["level"] > 0)
-    own = F.array_join(F.transform(F.filter("_p", lambda x: x["level"] == 0), lambda x: x["text"]), "\n")
-    split = split.select("conv_id", "turn", "role", own.alias("_own"), quoted("_p").alias("_q"))
-    split = split.withColumn("content", F.when(F.size("_q") > 0, F.trim(F.regexp_replace("_own", r"\n{3,}", "\n\n"))).otherwise(F.col("_own")))
-    asked = split.where(F.size("_q") > 0).select("conv_id", "turn", F.explode("_q").alias("q")).select("conv_id", "turn", normal(F.col("q.text")).alias("n"))
-    asked = asked.where(F.length("n") >= _SHORTEST).select("conv_id", "turn", F.sha2("n", 256).alias("hash")).distinct()
-    said = split.select("conv_id", "turn", F.explode(_units(F.col("content"))).alias("n")).select("conv_id", "turn", F.sha2("n", 256).alias("hash"))
-    # Only passages that some message quotes are needed, and of each the first turn alone.
-    first = said.join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    found = asked.join(own_exchange(first, "conv_id"), ["conv_id", "hash"]).where("origin < turn")
-    links = found.groupBy("conv_id", "turn").agg(F.max("origin").alias("parent"), F.count("*").alias("n_linked"))
-    out = split.select("conv_id", "turn", "role", "content", F.size("_q").cast("long").alias("n_quotes"))
-    return out.join(links, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "content", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent")
+    """(conv_id, turn, variant, role, content, n_quotes, n_linked, parent, parent_variant):
+    content is the message without quoted lines, n_quotes its quoted passages, n_linked those
+    that an earlier turn said at least in part; parent the latest turn that first said one,
+    null if none is found."""
+    lines = _key(messages).withColumn("l", lines_of(F.col("text")))
+    split = lines.withColumn("p", passages_of(F.col("l"))).drop("l", "text")
+    own = F.transform(F.filter("p", lambda x: x["level"] == 0), lambda x: x["text"])
+    split = split.select("conv_id", "turn", "variant", "role", own.alias("own"), F.filter("p", lambda x: x["level"] > 0).alias("q"))
+    whole = F.array_join("own", "\n")
+    split = split.withColumn("content", F.when(F.size("q") > 0, F.trim(F.regexp_replace(whole, r"\n{3,}", "\n\n"))).otherwise(whole))
+    key = ["conv_id", "turn", "variant"]
+
+    # Ways to ask for a passage, the surest first: whole, by paragraph, by line.
+    t = F.col("q.text")
+    ways = F.array(*[F.struct(F.lit(i).alias("way"), x.alias("forms")) for i, x in enumerate((F.array(t), _paragraphs(t), F.split(t, "\n")))])
+    asked = split.select(*key, F.posexplode("q").alias("at", "q")).select(*key, "at", F.explode(ways).alias("w")).select(*key, "at", "w.way", F.explode(_forms(F.col("w.forms"))).alias("n"))
+    asked = asked.select(*key, "at", "way", (F.length("n") < _SHORT).alias("short"), F.sha2("n", 256).alias("hash"))
+    units = _forms(F.concat(F.array("content"), F.col("own"), _paragraphs(F.col("content")), F.split("content", "\n")))
+    said = split.select(*key, F.explode(units).alias("n")).select(*key, F.sha2("n", 256).alias("hash"))
+    # Only what some message quotes is needed, and of each the first message alone.
+    needed = said.join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    first = needed.groupBy("conv_id", "hash").agg(F.min(F.struct("turn", "variant")).alias("origin"), F.max(F.struct("turn", "variant")).alias("last"))
+    found = asked.join(own_exchange(first, "conv_id"), ["conv_id", "hash"]).where("origin.turn < turn")
+    # A short passage needs a single origin; that messages say it later than it is asked for takes nothing away.
+    only = needed.groupBy("conv_id", "hash").agg(F.count("*").alias("times"))
+    short = found.where("short").join(own_exchange(only, "conv_id"), ["conv_id", "hash"]).where("times = 1").drop("times")
+    found = found.where("not short").unionByName(short)
+    best = found.groupBy(*key, "at").agg(F.min(F.struct("way", (-F.col("origin.turn")).alias("back"), F.col("origin.variant").alias("v"))).alias("b"))
+    links = best.groupBy(*key).agg(F.max(F.struct((-F.col("b.back")).alias("turn"), F.col("b.v").alias("variant"))).alias("up"), F.count("*").alias("n_linked"))
+    out = split.select(*key, "role", "content", F.size("q").cast("long").alias("n_quotes"))
+    return out.join(links, key, "left").select(*key, "role", "content", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("up.turn").alias("parent"), F.col("up.variant").alias("parent_variant"))
 
 
 def conversations(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     """messages (conv_id, turn, role, text, ...): one row for each message, to be read in the
     order of conv_id, thread, depth and turn.
 
-    Returns conv_id, turn, role, content, n_quotes, n_linked, parent, thread (turn of the
-    message that the replies go back to; a message without a linked quote is its own) and
-    depth (replies up to it).
-    Rows with a null conv_id or turn have no place in a conversation and are left out;
-    repeated (conv_id, turn) are one message. Null texts are empty messages. Other columns
-    are not read. An empty table gives no rows.
+    Returns conv_id, turn, variant, role, content, n_quotes, n_linked, parent, thread (turn
+    of the message that the replies go back to; a message without a linked quote is its own)
+    and depth (replies up to it). variant tells different messages of one turn apart; all
+    stay. Rows with a null conv_id or turn have no place in a conversation and are left out;
+    repeated rows are one message. Null texts are empty messages. Other columns are not
+    read. An empty table gives no rows.
     """
     linked = checkpoint(link(messages))
     # Only messages in the reply tree are walked; the others are threads of their own.
-    edges = linked.where("parent is not null").select("conv_id", "turn", "parent")
-    jump = checkpoint(edges.select("conv_id", "turn", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth")))
+    node, up = F.struct("turn", "variant"), F.struct(F.col("parent").alias("turn"), F.col("parent_variant").alias("variant"))
+    jump = checkpoint(linked.where("parent is not null").select("conv_id", node.alias("node"), up.alias("up"), F.lit(1).cast("long").alias("depth")))
     for _ in range(max_rounds):
-        above = jump.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
-        step = jump.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_up").isNotNull().alias("moved"))
+        above = jump.select("conv_id", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
+        step = jump.join(above, ["conv_id", "up"], "left").select("conv_id", "node", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_up").isNotNull().alias("moved"))
         step = checkpoint(step)
         jump = step.drop("moved")
         if not step.where("moved").limit(1).count():
             break
-    threads = jump.select("conv_id", "turn", F.col("up").alias("thread"), "depth")
-    out = linked.join(threads, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "content", "n_quotes", "n_linked", "parent", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    threads = jump.select("conv_id", "node.turn", "node.variant", F.col("up.turn").alias("thread"), "depth")
+    out = linked.join(threads, ["conv_id", "turn", "variant"], "left")
+    return out.select("conv_id", "turn", "variant", "role", "content", "n_quotes", "n_linked", "parent", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))

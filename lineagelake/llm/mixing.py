@@ -3,26 +3,27 @@
 Token weights of the cells source x language x topic are raked until their margins are the
 targets; documents are then kept with the probability that their cell's weight asks for.
 
-Scale: texts are read once; the cells are one partial aggregation, so a source with a
-third of all rows is a few partial sums. The cell table has a
-proven bound: at most MAX_VALUES values a margin, the smaller ones pooled into OTHER. It is
-raked in one partition by window sums, without a shuffle a step, and broadcast to the
-documents.
+Scale: the cells are one partial aggregation of the texts' counts, so a source with a third
+of all rows is a few partial sums. Any number of values has a cell of its own. A raking step
+is a window sum over the cells of each value of a margin, and nothing but single numbers
+comes to the driver. Rates are broadcast to the documents only if their count is
+below BROADCAST_CELLS, else joined.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineagelake.session import checkpoint
 
-OTHER = "(other)"
-# Bounds of the cell table: values of each margin that are told apart.
-MAX_VALUES = {"source": 200, "lang": 20, "topic": 12}
-SWEEPS = 6
+MARGINS = ("source", "lang", "topic")
+BROADCAST_CELLS = 200_000
+SWEEPS = 5  # between checks
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Mix:
     budget: float = 0.9
     seed: int = 17
     tolerance: float = 1e-6
-    max_blocks: int = 20
+    max_blocks: int = 40
 
 
 def tokens_of(text: Column) -> Column:
@@ -61,96 +62,96 @@ def topic_of(text: Column, n_tokens: Column) -> Column:
     )
 
 
-def _told(docs: DataFrame) -> DataFrame:
-    """docs with a struct _key of the margins' values and n_tokens."""
+def _told(docs: DataFrame, mix: Mix) -> DataFrame:
+    """docs as (row, key, draw): all columns in one struct, so that no name can clash; the
+    margins' values and n_tokens; and the row's draw from [0, 1), a hash of its id or, where
+    it has none, of its text."""
     text = F.col("text").cast("string")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    counted = docs.withColumn("_n", tokens_of(text))
-    return counted.withColumn("_key", F.struct(name("source"), name("lang"), topic_of(text, F.col("_n")).alias("topic"), F.col("_n").alias("n_tokens"))).drop("_n")
+    bits = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(mix.seed), F.col("doc_id").cast("long"))).otherwise(F.xxhash64(F.lit(mix.seed), text, F.lit(0)))
+    draw = bits.bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    counted = docs.select(F.struct(*docs.columns).alias("row"), name("source"), name("lang"), text.alias("text"), tokens_of(text).alias("n_tokens"), draw.alias("draw"))
+    return counted.select("row", F.struct("source", "lang", topic_of(F.col("text"), F.col("n_tokens")).alias("topic"), "n_tokens").alias("key"), "draw")
 
 
-def cells(docs: DataFrame, margins: tuple[str, ...] = ("source", "lang", "topic")) -> DataFrame:
-    """docs with the margins and n_tokens: tokens and rows of each cell, smaller values pooled."""
-    found = docs.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
-    found = checkpoint(found)
-    for m in margins:
-        top = found.groupBy(m).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), F.col(m)).limit(MAX_VALUES[m]).select(F.col(m), F.lit(True).alias("_own"))
-        found = found.join(F.broadcast(top), m, "left").withColumn(m, F.when(F.col("_own"), F.col(m)).otherwise(OTHER)).drop("_own")
-    return found.groupBy(*margins).agg(F.sum("tokens").alias("tokens"), F.sum("n_docs").alias("n_docs"))
+def cells(docs: DataFrame, margins: tuple[str, ...] = MARGINS) -> DataFrame:
+    """docs with the margins and n_tokens: tokens and rows of each cell."""
+    return docs.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
 
 
 def _targets(table: DataFrame, mix: Mix, margins: tuple[str, ...]) -> DataFrame:
-    """Adds the target share of each margin's value, over the values that have tokens."""
+    """Adds the target share of each margin's value, over the values that have tokens. With
+    given targets, values that they don't name have none."""
     given, temper = dict(mix.targets), dict(mix.temper)
-    everything = Window.partitionBy()
+    spark = table.sparkSession
+    total = table.agg(F.sum("tokens")).first()[0]
     for m in margins:
-        share = F.sum("tokens").over(Window.partitionBy(m)) / F.sum("tokens").over(everything)
+        raw = table.groupBy(m).agg((F.sum("tokens") / F.lit(float(total or 1))).alias("_share"))
         if m in given:
-            raw = F.lit(0.0)
-            for value, weight in given[m]:
-                raw = F.when(F.col(m) == value, float(weight)).otherwise(raw)
+            wanted = spark.createDataFrame([(str(v), float(w)) for v, w in given[m]], "_value string, _raw double").groupBy("_value").agg(F.sum("_raw").alias("_raw"))
+            raw = raw.join(wanted, raw[m] == wanted["_value"], "left").select(m, F.coalesce("_raw", F.lit(0.0)).alias("_raw"))
         else:
-            raw = F.pow(share, F.lit(temper.get(m, 1.0)))
-        table = table.withColumn("_raw", raw)
-        # A value's share counts once, however many cells it has.
-        once = F.row_number().over(Window.partitionBy(m).orderBy(*margins)) == 1
-        table = table.withColumn("_once", F.when(once, F.col("_raw")).otherwise(0.0))
-        table = table.withColumn(f"target_{m}", F.col("_raw") / F.sum("_once").over(everything)).drop("_raw", "_once")
+            raw = raw.select(m, F.pow("_share", F.lit(temper.get(m, 1.0))).alias("_raw"))
+        raw = checkpoint(raw)
+        whole = raw.agg(F.sum("_raw")).first()[0]
+        table = table.join(raw.select(m, (F.col("_raw") / F.lit(float(whole or 1))).alias(f"target_{m}")), m)
     return table
 
 
-def rake(table: DataFrame, mix: Mix, margins: tuple[str, ...] = ("source", "lang", "topic")) -> DataFrame:
+def rake(table: DataFrame, mix: Mix, margins: tuple[str, ...] = MARGINS) -> DataFrame:
     """The cell table with `weight` (shares of tokens that sum to one) raked to the targets.
 
     Sweeps are checked in blocks against `tolerance`, the largest difference of a margin
-    from its target. Cells without tokens get no weight. If no such weights exist, the
-    closest found after `max_blocks` blocks stay."""
-    one = Window.partitionBy()
-    now = _targets(table.where("tokens > 0").coalesce(1), mix, margins).withColumn("weight", F.col("tokens") / F.sum("tokens").over(one))
+    from its target. Cells without tokens get no weight. If no such weights exist, sweeps end
+    where a block comes no closer (by a hundredth), or after `max_blocks` blocks."""
+    table = checkpoint(table.where("tokens > 0"))
+    total = table.agg(F.sum("tokens")).first()[0]
+    now = checkpoint(_targets(table, mix, margins).withColumn("weight", F.col("tokens") / F.lit(float(total or 1))))
+    last = math.inf
     for _ in range(mix.max_blocks):
         for _ in range(SWEEPS):
             for m in margins:
+                # A window, not a sum joined back: each such join would double the plan before it.
                 total = F.sum("weight").over(Window.partitionBy(m))
                 now = now.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{m}") / total).otherwise(0.0))
-        now = checkpoint(now).coalesce(1)
-        off = [F.abs(F.sum("weight").over(Window.partitionBy(m)) - F.col(f"target_{m}")) for m in margins]
-        worst = now.select(F.greatest(*off).alias("off")).agg(F.max("off")).first()[0]
-        if worst is None or worst <= mix.tolerance:
+            now = checkpoint(now)
+        # The last margin was just scaled; the others tell how far off the weights are.
+        off = [now.groupBy(m).agg(F.abs(F.sum("weight") - F.max(f"target_{m}")).alias("off")).select("off") for m in margins]
+        worst = reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0]
+        if worst is None or worst <= mix.tolerance or worst > 0.99 * last:
             break
+        last = worst
     return now
 
 
-def probabilities(raked: DataFrame, mix: Mix, margins: tuple[str, ...] = ("source", "lang", "topic")) -> DataFrame:
+def probabilities(raked: DataFrame, mix: Mix, margins: tuple[str, ...] = MARGINS) -> DataFrame:
     """Adds `probability`: min(1, s * weight / tokens), with s such that the expected tokens
-    are `budget` of all. Exact: cells are taken in falling order of weight a token; those at
-    the front are kept whole until the rest's common factor reaches none of them."""
-    one = Window.partitionBy()
-    order = Window.partitionBy().orderBy(F.desc("ratio"), *margins)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    t = raked.withColumn("ratio", F.col("weight") / F.col("tokens"))
-    t = t.withColumn("_t", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("_w", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    left = F.greatest(F.lit(0.0), F.lit(mix.budget) * F.sum("tokens").over(one) - F.col("_t"))
-    t = t.withColumn("_s", left / F.greatest(F.sum("weight").over(one) - F.col("_w"), F.lit(1e-300)))
-    t = t.withColumn("_fits", F.col("_s") * F.col("ratio") <= 1.0)
-    scale = F.first(F.when(F.col("_fits"), F.col("_s")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    t = t.withColumn("probability", F.least(F.lit(1.0), F.coalesce(scale, F.lit(float("inf"))) * F.col("ratio")))
-    return t.drop("_t", "_w", "_s", "_fits", "ratio")
+    are `budget` of all. Exact: what a factor would take beyond a cell's tokens is kept whole,
+    and the factor of the rest found anew, until no more cells are whole. The factor only
+    rises, so cells that are whole stay so; a round is one sum over the cells."""
+    sums = raked.agg(F.sum("tokens"), F.sum("weight")).first()
+    left, weight = mix.budget * (sums[0] or 0), sums[1] or 0.0
+    ratio, scale, n_whole = F.col("weight") / F.col("tokens"), 0.0, 0
+    while weight > 0:
+        scale = left / weight
+        whole = raked.where(ratio * F.lit(scale) >= 1).agg(F.count("*"), F.sum("tokens"), F.sum("weight")).first()
+        if whole[0] == n_whole:
+            break
+        n_whole, left, weight = whole[0], mix.budget * sums[0] - whole[1], sums[1] - whole[2]
+        if left <= 0:  # a budget of all, up to rounding
+            break
+    return raked.withColumn("probability", F.least(F.lit(1.0), F.lit(float(scale)) * ratio))
 
 
 def _marked(told: DataFrame, mix: Mix) -> DataFrame:
-    """told (doc_id, _key, ...): adds _mix: topic, tokens, weight, probability, verdict."""
-    margins = ("source", "lang", "topic")
-    table = cells(told.select("_key.*"), margins)
-    raked = checkpoint(probabilities(rake(table, mix, margins), mix, margins))
-    # One row: the values that are told apart.
-    known = F.broadcast(raked.agg(*[F.collect_set(m).alias(f"_{m}") for m in margins]))
-    own = [F.when(F.array_contains(f"_{m}", F.col(f"_key.{m}")), F.col(f"_key.{m}")).otherwise(OTHER).alias(f"_c_{m}") for m in margins]
-    placed = told.join(known, how="left", on=F.lit(True)).select(*[told[c] for c in told.columns], *own)
-    rates = raked.select(*[F.col(m).alias(f"_c_{m}") for m in margins], F.struct("weight", "tokens", "probability").alias("_cell"))
-    out = placed.join(F.broadcast(rates), [f"_c_{m}" for m in margins], "left")
-    draw = F.xxhash64(F.lit(mix.seed), F.col("doc_id").cast("long")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    p = F.coalesce(F.col("_cell.probability"), F.lit(0.0))
-    return out.withColumn("_mix", F.struct(F.col("_key.topic").alias("topic"), F.col("_key.n_tokens").alias("n_tokens"), F.coalesce(F.col("_cell.weight") / F.col("_cell.tokens"), F.lit(0.0)).alias("token_weight"), p.alias("probability"), (draw < p).alias("kept")))
+    """told (row, key, draw): adds mixed: tokens, weight, probability and verdict."""
+    table = cells(told.select("key.*"))
+    raked = checkpoint(probabilities(rake(table, mix), mix))
+    rates = raked.select(F.struct(*MARGINS).alias("cell"), F.struct("weight", "tokens", "probability").alias("rate"))
+    rates = F.broadcast(rates) if raked.count() <= BROADCAST_CELLS else rates
+    out = told.join(rates, F.struct(*[F.col(f"key.{m}").alias(m) for m in MARGINS]) == F.col("cell"), "left")
+    p = F.coalesce(F.col("rate.probability"), F.lit(0.0))
+    return out.select("row", F.struct(F.col("key.topic").alias("topic"), F.col("key.n_tokens").alias("n_tokens"), F.coalesce(F.col("rate.weight") / F.col("rate.tokens"), F.lit(0.0)).alias("token_weight"), p.alias("probability"), (F.col("draw") < p).alias("kept")).alias("mixed"))
 
 
 def assign(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -158,15 +159,16 @@ def assign(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     token_weight (the mixture's weight of one token), probability and kept for each row.
 
     Null sources and languages count as the empty value. Null and empty texts have no
-    tokens, no weight, probability 0 and are not kept. The draw is a hash of doc_id, so
-    it repeats, rows of one id are drawn alike, and a lost task draws as before. An empty
-    table gives no rows; columns of other names are not read.
+    tokens, no weight, probability 0 and are not kept. The draw is a hash of doc_id (of the
+    text where it is null), so it repeats, rows of one id are drawn alike, and a lost task
+    draws as before. An empty table gives no rows; columns of other names are not read.
     """
     # Texts are read once; what is kept of a row is some 40 bytes.
-    told = checkpoint(_told(docs.select(F.col("doc_id").cast("long"), "text", "source", "lang")).drop("text"))
-    return _marked(told, mix).select("doc_id", "source", "lang", "_mix.*")
+    told = _told(docs.select(F.col("doc_id").cast("long"), "text", "source", "lang"), mix)
+    slim = checkpoint(told.select(F.struct("row.doc_id", "row.source", "row.lang").alias("row"), "key", "draw"))
+    return _marked(slim, mix).select("row.*", "mixed.*")
 
 
 def sample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The rows of docs that are drawn, with all their columns."""
-    return _marked(_told(docs), mix).where("_mix.kept").select(*docs.columns)
+    """The rows of docs that are drawn, with all their columns, whatever their names."""
+    return _marked(_told(docs, mix), mix).where("mixed.kept").select("row.*")
