@@ -7,12 +7,14 @@ hits of a read. seqinfo: seq_id, seq_len, tax_id. addresses: tax_id and the leve
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineagelake.config import FRAGMENTS, PRIORS
 from lineagelake.functions.poisson import band_ratio_udf
+from lineagelake.session import checkpoint
 
 PAIRS = (("u", "p"), ("s", "n"), ("r", "m"))
 
@@ -48,7 +50,7 @@ def from_sam(sam: DataFrame, sequences: DataFrame, dialect: str = "short") -> Da
         length = F.col("_clip") + matched
         mut = (2 * length - (F.col("score") + 1.6 * longest)) / 5
     c = c.withColumn("mut", mut).withColumn("nom", length - F.col("mut"))
-    c = c.join(F.broadcast(sequences), "ref")
+    c = c.join(sequences, "ref")
     first = Window.partitionBy("read_id", "mate", "tax_id").orderBy("ord")
     return c.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("read_id", "tax_id", "seq_id", F.col("pos").cast("long").alias("site"), "mut", "nom", "ord")
 
@@ -78,13 +80,14 @@ def conservation(scored: DataFrame, addresses: DataFrame, priors=PRIORS) -> Data
     cluster, P those that this read hits. P and T are averaged over the read's clusters,
     weighted by the best row of the cluster's lowest sub-cluster, and compared under two
     binomial models. The first pair in which every T is 1 ends the series."""
-    placed = scored.join(addresses, "tax_id")
+    placed = checkpoint(scored.select("read_id", "tax_id", "rel_sim").join(addresses, "tax_id"))
+    totals = [placed.groupBy(up).agg(F.count_distinct(down).alias("t")) for up, down in PAIRS]
+    # One job tells where the series ends.
+    most = [r.m for r in reduce(DataFrame.unionByName, [t.agg(F.max("t").alias("m")).select(F.lit(i).alias("i"), "m") for i, t in enumerate(totals)]).orderBy("i").collect()]
+    used = next((i for i, m in enumerate(most) if (m or 1) == 1), len(PAIRS))
     miss = F.lit(1.0)
     out = scored.select("read_id").distinct()
-    for (up, down), (prior, c, a) in zip(PAIRS, priors):
-        total = placed.groupBy(up).agg(F.count_distinct(down).alias("t"))
-        if (total.agg(F.max("t")).first()[0] or 1) == 1:
-            break
+    for (up, down), (prior, c, a), total in list(zip(PAIRS, priors, totals))[:used]:
         hit = placed.groupBy("read_id", up, down).agg(F.max("rel_sim").alias("w"))
         each = hit.groupBy("read_id", up).agg(F.count("*").alias("p"), F.min_by("w", down).alias("w"))
         mean = each.join(total, up).groupBy("read_id").agg((F.sum(F.col("p") * F.col("w")) / F.sum("w")).alias("p"), (F.sum(F.col("t") * F.col("w")) / F.sum("w")).alias("t"))

@@ -121,8 +121,9 @@ def first_of_content(rows: DataFrame, key: str, content: str) -> DataFrame:
 
 def upsert(catalog: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(catalogue with the given columns updated, log of (key, field, old, new)). Null and
-    empty values leave a field as it is; rows that the catalogue lacks are not added."""
-    clean = updates.select(key, *[F.when(F.col(c) != "", F.col(c)).alias(f"_{c}") for c in columns])
+    empty values leave a field as it is; rows that the catalogue lacks are not added. Of
+    several updates of a field the largest value stands, and no row is multiplied."""
+    clean = updates.groupBy(key).agg(*[F.max(F.when(F.col(c) != "", F.col(c))).alias(f"_{c}") for c in columns])
     both = catalog.join(clean, key, "left")
     now = {c: F.coalesce(f"_{c}", F.col(c).cast("string")) for c in columns}
     merged = both.select(*[now[c].cast(catalog.schema[c].dataType).alias(c) if c in now else F.col(c) for c in catalog.columns])
@@ -176,3 +177,91 @@ def pack(items: DataFrame, capacity: int, spread: int = 16) -> DataFrame:
     run = classed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(groups), ["_class", "_sub"])
     return run.select("index", "size", F.floor((F.col("_before") + F.col("_in")) / capacity).cast("long").alias("shard"))
 
+
+def conform(rows: DataFrame, columns: list[str], blank: str | None = None) -> DataFrame:
+    """The given columns in their order; those that are missing are null or `blank`."""
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(blank).cast("string").alias(c) for c in columns])
+
+
+def pick(catalog: DataFrame, chosen: DataFrame, key: str = "index") -> DataFrame:
+    """Rows that a list names, each once however often it is named."""
+    return catalog.join(chosen.select(key).distinct(), key, "left_semi")
+
+
+def novel(listed: DataFrame, known: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Listed rows none of whose fields' values is known: by rows of (field, value), so that
+    "or" needs no nested loop. Nulls match nothing."""
+    values = lambda df, *c: df.select(*c, F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in fields])).alias("x")).where("x.v is not null")
+    met = values(listed, key).join(values(known).distinct(), "x", "left_semi").select(key).distinct()
+    return listed.join(met, key, "left_anti")
+
+
+def stem(accession: Column) -> Column:
+    """An accession without its version."""
+    return F.regexp_replace(accession, r"\.[^.]*$", "")
+
+
+def refresh(catalog: DataFrame, listed: DataFrame, columns: list[str], accession: str = "assembly_accession") -> DataFrame:
+    """Catalogue rows whose accession stem is listed take the newest listed row's columns."""
+    newest = F.max(F.struct(version(F.col(accession)).alias("v"), *[F.col(c).alias(f"_{c}") for c in columns])).alias("new")
+    found = listed.where(F.col(accession).isNotNull()).groupBy(stem(F.col(accession)).alias("_stem")).agg(newest)
+    both = catalog.withColumn("_stem", stem(F.col(accession))).join(found, "_stem", "left")
+    return both.select(*[F.coalesce(F.col("new")[f"_{c}"], F.col(c)).alias(c) if c in columns else F.col(c) for c in catalog.columns])
+
+
+def lineage(nodes: DataFrame, ranks: list[str]) -> DataFrame:
+    """nodes (id, parent, rank, name): (id, a column for each rank), the name of the nearest
+    ancestor of that rank, itself included."""
+    named = nodes.where(F.col("rank").isin(*ranks)).select(F.col("id").alias("ancestor"), "rank", "name")
+    above = closure(nodes.select("id", "parent")).join(named, "ancestor")
+    nearest = [F.min(F.when(F.col("rank") == r, F.struct("depth", "name")))["name"].alias(r) for r in ranks]
+    return nodes.select("id").join(above.groupBy("id").agg(*nearest), "id", "left")
+
+
+def fill(catalog: DataFrame, found: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Columns that are null are taken from `found`; what is there stays."""
+    other = found.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    return catalog.join(other, key, "left").select(*[F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in catalog.columns])
+
+
+def ingest_keys(category: str = "refseq_category", level: str = "assembly_level", accession: str = "assembly_accession") -> list[Column]:
+    """Order of taking in: category, assembly level, newest version, accession."""
+    return [rank_of(F.col(category), ["reference genome", "representative genome"]), rank_of(F.col(level), ["Complete Genome", "Chromosome"]), F.desc(version(F.col(accession))), F.col(accession)]
+
+
+def numbered(rows: DataFrame, *order: Column | str, name: str = "n", start: int = 0) -> DataFrame:
+    """rows with consecutive numbers in an order. Rows are sorted by range over all tasks;
+    only the sizes of the partitions are added up in one."""
+    from lineagelake.session import checkpoint
+
+    placed = checkpoint(rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = sizes.select("_part", (before - F.col("_first") + start).alias("_offset"))
+    return placed.join(F.broadcast(offset), "_part").withColumn(name, F.col("_at") + F.col("_offset")).drop("_part", "_at", "_offset")
+
+
+def allocate(rows: DataFrame, catalog: DataFrame, *order: Column | str, key: str = "index") -> DataFrame:
+    """New rows with keys from the catalogue's largest on."""
+    most = catalog.agg(F.max(key)).first()[0]
+    return numbered(rows, *order, name=key, start=(most or 0) + 1)
+
+
+def first_shards(items: DataFrame, capacity: int) -> DataFrame:
+    """One row: items, their size and the number of shards to begin with."""
+    return items.agg(F.count("*").alias("n_items"), F.sum("size").alias("size"), F.ceil(F.sum("size") / F.lit(capacity)).cast("long").alias("shards"))
+
+
+def discover(members: DataFrame, names: str) -> DataFrame:
+    """Members of the mapping databases of a comma-separated list; a missing one is an error."""
+    wanted = [x for x in names.split(",") if x]
+    found = members.where(F.col("mapdb").isin(*wanted))
+    there = {r[0] for r in found.select("mapdb").distinct().collect()}
+    if missing := sorted(set(wanted) - there):
+        raise KeyError(f"no mapping database {missing}")
+    return found
+
+
+def sequence_dictionary(members: DataFrame) -> DataFrame:
+    """members (mapdb, shard, seq_name, tax_id): adds seq_id, numbers from 0 by database, shard and name."""
+    return numbered(members, "mapdb", "shard", "seq_name", "tax_id", name="seq_id")

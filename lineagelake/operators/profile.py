@@ -121,3 +121,72 @@ def scores(pairs: DataFrame) -> DataFrame:
     n = pairs.select(kind.alias("k")).agg(*[F.coalesce(F.sum(F.when(F.col("k") == x, 1).otherwise(0)), F.lit(0)).alias(x) for x in ("true", "wrong", "missed", "spurious", "none")])
     fp, fn = F.col("wrong") + F.col("spurious"), F.col("wrong") + F.col("missed")
     return n.select(F.col("true").alias("n_true"), fp.alias("n_false_positive"), fn.alias("n_false_negative"), F.col("none").alias("n_both_unknown"), F.try_divide("true", F.col("true") + fp).alias("precision"), F.try_divide("true", F.col("true") + fn).alias("recall"), F.try_divide(2 * F.col("true"), 2 * F.col("true") + fp + fn).alias("f1"))
+
+
+def chosen(reported: DataFrame, names: list[str], label: str | None = None, without_empty: bool = False) -> DataFrame:
+    """A report's rows by falling total. label: a column; rows labelled `non` go.
+    without_empty: samples that have nothing in the rows that stay go too."""
+    rows = reported.where(F.col(label) != "non") if label else reported
+    if without_empty:
+        sums = rows.agg(*[F.coalesce(F.sum(F.col(f"`{n}`")), F.lit(0.0)).alias(n) for n in names]).first()
+        rows = rows.drop(*[n for n in names if not sums[n] > 0])
+    return rows.orderBy(F.desc("total"), "grp")
+
+
+def transposed(reported: DataFrame, key: str, keys: list[str], names: list[str]) -> DataFrame:
+    """A row for each sample, a column for each of the report's given keys."""
+    long = reported.select(key, *[F.col(f"`{n}`") for n in names]).unpivot([key], names, "sample", "_v")
+    return long.groupBy("sample").pivot(key, keys).agg(F.sum("_v"))
+
+
+def file_lines(profiled: DataFrame, summarised: DataFrame) -> DataFrame:
+    """Lines of a profile file: the three rows of the summary, then the groups."""
+    head = F.array(
+        F.format_string("Total\t%d\t%.3f", "total", F.col("matched").cast("double")), F.format_string("Unmatched\t%.3f\t%.3f", "unmatched_pct", F.lit(0.0)),
+        F.format_string("Uncertain_match\t%.3f\t%.3f", "uncertain_pct", F.coalesce("uncertain_matched_pct", F.lit(0.0))),
+    )
+    first = summarised.select(F.posexplode(head).alias("n", "value"))
+    rest = as_text(profiled).select((F.lit(3) + F.monotonically_increasing_id()).alias("n"), "value")
+    return first.select(F.col("n").cast("long"), "value").unionByName(rest).orderBy("n").select("value")
+
+
+def interpret(assigned: DataFrame, ranks: list[str], least: float = 0.8) -> DataFrame:
+    """assigned (read_id, prop, dist, mean_dist, informal, an id for each rank): for each read
+    and rank the ids that at least `least` of it agree on, comma-separated, else 0.
+
+    The species of what is 5 % away or informal, and the genus of what is 10 % away, is unknown."""
+    far = F.greatest("dist", "mean_dist")
+    known = {r: F.col(r) for r in ranks}
+    if "species" in known:
+        known["species"] = F.when((far >= 5) | F.col("informal"), 0).otherwise(F.col("species"))
+    if "genus" in known:
+        known["genus"] = F.when(far >= 10, 0).otherwise(F.col("genus"))
+    each = F.array(*[F.struct(F.lit(r).alias("rank"), F.coalesce(known[r], F.lit(0)).cast("long").alias("id")) for r in ranks])
+    votes = assigned.select("read_id", "prop", F.explode(each).alias("x")).groupBy("read_id", "x.rank", "x.id").agg(F.sum("prop").alias("p"))
+    ids = lambda r: F.array_sort(F.collect_set(F.when((F.col("rank") == r) & (F.col("p") >= least), F.col("id"))))
+    return votes.groupBy("read_id").agg(*[F.when(F.size(ids(r)) > 0, F.array_join(ids(r).cast("array<string>"), ",")).otherwise("0").alias(r) for r in ranks])
+
+
+# What a taxonomy of so many levels names.
+DEPTHS = {6: "Class", 7: "Genus", 8: "Species", 9: "Subspecies", 10: "Reference"}
+
+
+def traditional(samples: DataFrame, names: list[str], cutoff: float = 0.001, clean: bool = False) -> DataFrame:
+    """samples (sample, taxon, v): level, taxonomy and a column for each sample, of taxonomies
+    with at least `cutoff`. Synonyms in brackets are merged and named with their species; clean:
+    only species, without those whose name is informal (with a star), nor such synonyms."""
+    rows = samples.where(F.col("v") >= cutoff).withColumn("t", F.regexp_replace("taxon", r" \([^)]+\)", "")).withColumn("p", F.split("taxon", r"\|"))
+    table = rows.groupBy("t").pivot("sample", names).agg(F.sum("v"))
+    eighth = F.get("p", F.lit(7))
+    main = F.regexp_replace(eighth, r" \([^)]*\)$", "")
+    other = F.split(F.regexp_extract(eighth, r" \(([^)]*)\)$", 1), "/")
+    merged = rows.where(eighth.isNotNull()).select(main.alias("main"), F.explode(other).alias("o")).groupBy("main").agg(F.array_sort(F.collect_set(F.when(F.col("o") != "", F.col("o")))).alias("os"))
+    if clean:
+        merged = merged.where(~F.startswith("main", F.lit("*"))).withColumn("os", F.filter("os", lambda x: ~F.startswith(x, F.lit("*"))))
+    label = F.when(F.size("os") > 0, F.concat("main", F.lit(" ("), F.array_join("os", "/"), F.lit(")"))).otherwise(F.col("main"))
+    parts = table.withColumn("p", F.split("t", r"\|")).withColumn("main", F.get("p", F.lit(7)))
+    both = parts.join(merged.select("main", label.alias("label")), "main", "left").where(F.col("main").isNull() | F.col("label").isNotNull())
+    name = F.array_join(F.when(F.col("main").isNull(), F.col("p")).otherwise(F.concat(F.slice("p", 1, 7), F.array("label"), F.slice("p", F.lit(9), F.size("p")))), "|")
+    level = reduce(lambda acc, d: F.when(F.size("p") == d[0], d[1]).otherwise(acc), DEPTHS.items(), F.lit(None).cast("string"))
+    out = both.where(~F.endswith("t", F.lit("|"))).select(level.alias("level"), name.alias("taxonomy"), *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
+    return out.where("level = 'Species'") if clean else out.where("level is not null")

@@ -399,7 +399,11 @@ def bootstrap_sample(spark, sf_dir):
     return mixture.bootstrap(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
-SKETCHES = f"""mers AS (SELECT DISTINCT doc_id, CAST(('0x' || substring(md5(substring(text, i, {K})), 1, 15)) AS BIGINT) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - {K - 2})) AS i FROM documents WHERE length(text) >= {K})),
+TERMS = " + ".join(f"{f} * " + (f"lead(code, {j}) OVER w" if j else "code") for j, f in enumerate(sketch.multipliers(K)))
+(M1, F1), (M2, F2) = sketch.HALVES
+SKETCHES = f"""chars AS (SELECT doc_id, generate_subscripts(c, 1) AS i, CAST(unicode(unnest(c)) AS BIGINT) AS code FROM (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) >= {K})),
+sums AS (SELECT doc_id, {TERMS} AS v FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+mers AS (SELECT DISTINCT doc_id, v % {M1} * {F1} % {M1} * 2147483648 + v % {M2} * {F2} % {M2} AS h FROM sums WHERE v IS NOT NULL),
 sk AS (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n FROM mers), held AS (SELECT doc_id, h FROM sk WHERE n <= {S}), lists AS (SELECT doc_id, list(h ORDER BY h) AS hs FROM held GROUP BY 1)"""
 NEAREST = f"""{SKETCHES}, first AS (SELECT h, min(doc_id) AS parent FROM held GROUP BY 1), met AS (SELECT DISTINCT doc_id, parent FROM held JOIN first USING (h) WHERE parent < doc_id),
 un AS (SELECT m.doc_id, m.parent, list_sort(list_distinct(list_concat(a.hs, b.hs)))[1:{S}] AS un, a.hs AS ah, b.hs AS bh FROM met m JOIN lists a ON a.doc_id = m.doc_id JOIN lists b ON b.doc_id = m.parent),
@@ -441,8 +445,12 @@ def sketch_search(spark, sf_dir):
 
 
 def queries() -> dict:
+    from lineagelake.plans import extended  # registers its own
+
+    assert extended
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

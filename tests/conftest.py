@@ -16,6 +16,8 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        # A broadcast relation takes a whole memory page, here 32 MB by default, however few its rows.
+        .config("spark.buffer.pageSize", "2m")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
