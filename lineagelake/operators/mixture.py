@@ -7,6 +7,10 @@ thousand at most); everything a read brings stays on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,26 +23,34 @@ def candidates(scored: DataFrame) -> DataFrame:
     return scored.where("core_w >= 0.01 and depth_w >= 0.01 and weight >= 0.001")
 
 
-def cover(cands: DataFrame, n_reads: int, min_freq: float, min_num: float, cap: int = 5000) -> tuple[list[tuple[int, float]], float]:
+def cover(cands: DataFrame, n_reads: int, min_freq: float, min_num: float, cap: int = 5000, keep: int = 16) -> tuple[list[tuple[int, float]], float]:
     """([(tax_id, support)] in order of picking, read limit). In turn the reference with the
     most support (sum of rel_sim * weight) is picked and takes away all reads that it hits
     with half the similarity of their best; it ends where 2.5 times the support is below
     the limit. Ties: the smaller id.
 
     Hits are gathered by read once (as many as the aligner reports); a round is one pass
-    over them with the picked ids as literals and a pre-aggregated sum: no shuffle of hits."""
+    over what is left with a few picked ids as literals and a pre-aggregated sum: no shuffle
+    of hits. Each `keep` rounds the explained reads and picked hits are dropped for good, so
+    neither the literals nor the plan grow with the number of picks."""
     hit = F.struct("tax_id", (F.col("rel_sim") >= 0.5).alias("strong"), (F.col("rel_sim") * F.col("weight")).alias("s"))
     reads = checkpoint(cands.groupBy("read_id").agg(F.collect_list(hit).alias("hits")))
     limit = max(n_reads * min_freq, min_num)
     picked: list[tuple[int, float]] = []
+    recent: list[int] = []
     while True:
-        ids = F.array(*[F.lit(t).cast("long") for t, _ in picked]) if picked else F.array().cast("array<long>")
-        left = reads.where(~F.exists("hits", lambda h: h["strong"] & F.array_contains(ids, h["tax_id"])))
-        best = left.select(F.explode("hits").alias("h")).where(~F.array_contains(ids, F.col("h.tax_id"))).groupBy("h.tax_id").agg(F.sum("h.s").alias("s"))
+        ids = F.array(*[F.lit(t) for t in recent]).cast("array<long>")
+        gone = lambda h: F.array_contains(ids, h["tax_id"])  # noqa: E731, B023
+        left = reads.where(~F.exists("hits", lambda h: h["strong"] & gone(h))).select("read_id", F.filter("hits", lambda h: ~gone(h)).alias("hits")) if recent else reads
+        if len(recent) == keep:
+            left = reads = checkpoint(left.where(F.size("hits") > 0))
+            recent = []
+        best = left.select(F.explode("hits").alias("h")).groupBy("h.tax_id").agg(F.sum("h.s").alias("s"))
         top = best.orderBy(F.desc("s"), "tax_id").limit(1).collect()
         if not top or top[0].s * 2.5 < limit:
             break
         picked.append((top[0].tax_id, top[0].s))
+        recent.append(top[0].tax_id)
     if len(picked) > cap:
         limit = max(n_reads * min_freq * 5, min_num * 2)
         picked = [p for p in picked if p[1] >= limit]
@@ -66,23 +78,44 @@ def mixture(q: DataFrame, iterations: int = 200, tolerance: float = 1e-9) -> dic
     """Shares x (sum one) that maximise sum of w ln(sum of q x), by expectation maximisation
     from equal shares. The problem is convex, so the optimum's value is the only one.
 
-    A read's row is gathered once; an iteration is one pass with the shares as literals and
-    a pre-aggregated sum."""
-    rows = checkpoint(q.groupBy("read_id").agg(F.first("w").alias("w"), F.collect_list(F.struct("tax_id", "q")).alias("hits")))
-    ids = sorted(r[0] for r in q.select("tax_id").distinct().collect())
-    if not ids:
+    A read's row is gathered once; an iteration is one pass over batches of reads, which
+    adds up a part for each reference before anything is shuffled. The shares travel as one
+    array of numbers, so an iteration's plan is the same whatever their count."""
+    rows = checkpoint(q.groupBy("read_id").agg(F.first("w").cast("double").alias("w"), F.collect_list(F.struct("tax_id", "q")).alias("hits")))
+    ids = np.array(sorted(r[0] for r in q.select("tax_id").distinct().collect()), np.int64)
+    if not len(ids):
         return {}
-    x = {t: 1.0 / len(ids) for t in ids}
+    x = np.full(len(ids), 1.0 / len(ids))
     total = rows.agg(F.sum("w")).first()[0]
     for _ in range(iterations):
-        share = F.create_map(*[F.lit(v) for t, p in x.items() for v in (t, p)])
-        terms = F.transform("hits", lambda h: F.struct(h["tax_id"].alias("tax_id"), (h["q"] * share[h["tax_id"]]).alias("v")))
-        each = rows.select("w", terms.alias("t")).withColumn("d", F.aggregate("t", F.lit(0.0), lambda a, b: a + b["v"]))
-        new = each.where("d > 0").select(F.explode("t").alias("t"), "w", "d").groupBy("t.tax_id").agg(F.sum(F.col("w") * F.col("t.v") / F.col("d")).alias("s"))
-        last, x = x, dict.fromkeys(ids, 0.0) | {r.tax_id: r.s / total for r in new.collect()}
-        if max(abs(x[t] - last[t]) for t in ids) < tolerance:
+        new = rows.select("w", F.col("hits.tax_id").alias("t"), F.col("hits.q").alias("q")).mapInArrow(_expected(ids, x), "tax_id long, s double").groupBy("tax_id").agg(F.sum("s").alias("s"))
+        last, x = x, np.zeros(len(ids))
+        for r in new.collect():
+            x[np.searchsorted(ids, r.tax_id)] = r.s / total
+        if np.abs(x - last).max() < tolerance:
             break
-    return x
+    return dict(zip(ids.tolist(), x.tolist()))
+
+
+def _expected(ids: np.ndarray, x: np.ndarray):
+    """Batches (w, t, q: the read's references and likelihoods) to expected weights by reference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(ids))
+        for b in batches:
+            if not len(b):
+                continue
+            size = np.diff(b.column(1).offsets.to_numpy())
+            at = np.searchsorted(ids, b.column(1).flatten().to_numpy())
+            v = b.column(2).flatten().to_numpy() * x[at]
+            read = np.repeat(np.arange(len(b)), size)
+            d = np.bincount(read, v, len(b))
+            w = np.divide(b.column(0).to_numpy(), d, out=np.zeros(len(b)), where=d > 0)
+            sums += np.bincount(at, v * w[read], len(ids))
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(sums[some])], ["tax_id", "s"])
+
+    return run
 
 
 def _divide(a: Column, b: Column) -> Column:
