@@ -10,6 +10,10 @@ the 256 values of magnitude category 8, whose extra bits are b itself. One Huffm
 8 bits then keeps every coefficient on byte boundaries, so coding and decoding such frames
 are array operations; frames with other codes are decoded bit by bit.
 
+Files of other makers may lack Huffman tables (the usual ones then hold), go on in further
+RIFF segments, bring OpenDML indexes, or be broken: what can't be read is counted and told,
+never raised.
+
 Each row is one medium and is handled by itself: no shuffle, and memory is bounded by the
 largest medium.
 """
@@ -103,39 +107,73 @@ def _walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + size % 2
 
 
+def _indexed(data: bytes, at: int, size: int) -> list[tuple[int, int]]:
+    """(start, size) of the frames that an OpenDML index chunk (ix..) names."""
+    per, kind, n, base = struct.unpack_from("<HxBI4xQ", data, at) if size >= 24 else (0, 0, 0, 0)
+    if per != 2 or kind != 1:
+        return []
+    n = min(n, (size - 24) // 8)
+    pairs = np.frombuffer(data, "<u4", 2 * n, at + 24).reshape(n, 2).astype(np.int64)
+    return [(base + int(o), int(k & 0x7FFFFFFF)) for o, k in pairs]
+
+
 def parse(data: bytes) -> dict:
-    """{frames: [(start, size)], fps, payload (or None)} by the index; without one, by the
-    chunks themselves."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+    """{frames: [(start, size)], fps, payload (or None)} of all RIFF segments: by OpenDML
+    indexes, or by each segment's own index, or by the chunks themselves."""
+    if data[:4] != b"RIFF" or data[8:12] != b"AVI " or len(data) < 20:
         raise ValueError("no AVI file")
     out: dict = {"frames": [], "fps": float(FPS), "payload": None}
-    movi, index = None, []
-    todo = [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]
+    movis, index, long_index = [], [], []
+    todo = [(start + 4, start + size) for name, start, size in _walk(data, 0, len(data)) if name == b"RIFF" and data[start : start + 4] in (b"AVI ", b"AVIX")]
     while todo:
         for name, start, size in _walk(data, *todo.pop()):
             kind = data[start : start + 4]
             if name == b"LIST" and kind == b"movi":
-                movi = (start, size)
+                movis.append((start, size))
+                long_index += [(s, n) for x, s, n in _walk(data, start + 4, start + size) if x[:2] == b"ix"]
             elif name == b"LIST":
                 todo.append((start + 4, start + size))
-            elif name == b"avih" and struct.unpack_from("<I", data, start)[0]:
+            elif name == b"avih" and size >= 4 and struct.unpack_from("<I", data, start)[0]:
                 out["fps"] = 1_000_000 / struct.unpack_from("<I", data, start)[0]
-            elif name == b"ICMT" and data[start : start + 8] == b"payload=":
+            elif name == b"ICMT" and data[start : start + 8] == b"payload=" and data[start + 8 : start + size].rstrip(b"\0").isdigit():
                 out["payload"] = int(data[start + 8 : start + size].rstrip(b"\0"))
             elif name == b"idx1":
                 index = [struct.unpack_from("<4sIII", data, start + i) for i in range(0, size - 15, 16)]
-    if movi is None:
+            elif name[:2] == b"ix":
+                long_index.append((start, size))
+    movis.sort()
+    if not movis:
         raise ValueError("no frames")
-    for name, _, at, size in index:
-        for base in (movi[0], 0):  # offsets from the list's name, or from the file's start
-            if name[2:] in (b"dc", b"db") and data[base + at : base + at + 4] == name:
-                out["frames"].append((base + at + 8, size))
-                break
+    inside = lambda x: 0 <= x[0] and x[0] + x[1] <= len(data)
+    out["frames"] = [f for at, n in sorted(long_index) for f in _indexed(data, at, n) if inside(f)]
+    walked = lambda movi: [(s, n) for name, s, n in _walk(data, movi[0] + 4, movi[0] + movi[1]) if name[2:] in (b"dc", b"db")]
     if not out["frames"]:
-        out["frames"] = [(s, n) for name, s, n in _walk(data, movi[0] + 4, movi[0] + movi[1]) if name[2:] in (b"dc", b"db")]
+        for name, _, at, size in index:
+            for base in (movis[0][0], 0):  # offsets from the list's name, or from the file's start
+                if name[2:] in (b"dc", b"db") and data[base + at : base + at + 4] == name:
+                    out["frames"].append((base + at + 8, size))
+                    break
+        # The index of old files covers the first segment alone.
+        for movi in movis[1:] if out["frames"] else movis:
+            out["frames"] += walked(movi)
     return out
 
 
+def _usual(lengths: tuple[int, ...], head: bytes) -> tuple[bytes, bytes]:
+    """A usual table: the symbols of `head`, then the rest of all (zeros, size) by number."""
+    every = [0x00, 0xF0, *(r << 4 | n for r in range(16) for n in range(1, 11))]
+    return bytes(lengths), head + bytes(sorted(set(every) - set(head)))
+
+
+# The usual Huffman tables of the JPEG standard (class and place: code lengths, symbols).
+_USUAL = {
+    0x00: (bytes((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)), bytes(range(12))),
+    0x01: (bytes((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0)), bytes(range(12))),
+    0x10: _usual((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282")),
+    0x11: _usual((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), bytes.fromhex("0001020311040521310612415107617113223281081442" "91a1b1c109233352f0156272d10a162434e125f1")),
+}
+
+
 def _codes(lengths: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
     """(bits, code) -> symbol."""
     out, code, at = {}, 0, 0
@@ -156,6 +194,8 @@ class _Bits:
 
     def take(self, n: int) -> int:
         while self.n < n:
+            if self.at > len(self.data) + 64:
+                raise ValueError("the frame is cut short")
             self.acc = self.acc << 8 | (self.data[self.at] if self.at < len(self.data) else 0xFF)
             self.at, self.n = self.at + 1, self.n + 8
         self.n -= n
@@ -179,10 +219,15 @@ class _Bits:
 def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
     """Baseline JPEG: (quantised coefficients of the first component's blocks in zigzag
     order and in scan order, its quantisation table in zigzag order, (width, height))."""
-    quant, huff, comps, restart, size, at = {}, {}, [], 0, (0, 0), 2
+    quant, comps, restart, size, at = {}, [], 0, (0, 0), 2
+    huff = {k: _codes(*v) for k, v in _USUAL.items()}
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("no JPEG frame")
     while True:
+        while jpeg[at : at + 2] == b"\xff\xff":  # fill bytes
+            at += 1
+        if jpeg[at : at + 1] != b"\xff":
+            raise ValueError("no marker")
         marker, n = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
         body = jpeg[at + 4 : at + 2 + n]
         at += 2 + n
@@ -194,6 +239,9 @@ def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
         elif marker in (0xC0, 0xC1):
             size = struct.unpack_from(">HH", body, 1)[::-1]
             comps = [[*body[i : i + 3], 0] for i in range(6, 6 + 3 * body[5], 3)]
+            all_hv = [(c[1] >> 4, c[1] & 15) for c in comps]
+            if not all(1 <= x <= 4 for hv in all_hv for x in hv):
+                raise ValueError("no such sampling")
         elif marker == 0xC4:
             while body:
                 count = sum(body[1:17])
@@ -202,14 +250,16 @@ def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            for i in range(body[0]):
-                for c in comps:
-                    if c[0] == body[1 + 2 * i]:
-                        c[3] = body[2 + 2 * i]
-            break
+            named = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+            if comps and comps[0][0] in named:  # the scan that holds the first component
+                single = len(named) == 1
+                hv0 = comps[0][1]
+                comps = [[c[0], c[1], c[2], named[c[0]]] for c in comps if c[0] in named]
+                break
+            at = _scan_end(jpeg, at)
         elif marker in (0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xD0)):
             raise ValueError("not a baseline frame")
-    scan = jpeg[at : jpeg.rfind(b"\xff\xd9")]
+    scan = jpeg[at : _scan_end(jpeg, at)]
     if len(comps) == 1 and restart == 1 and huff[comps[0][3] >> 4] == _ALIGNED == huff[16 + (comps[0][3] & 15)]:
         raw = np.frombuffer(scan, np.uint8)
         if len(raw) % 130 != 128 or (raw[1::130] == 0xFF).any() or scan.find(b"\xff\x00") >= 0:
@@ -218,10 +268,12 @@ def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
         b = np.concatenate([raw, np.zeros(2, np.uint8)]).reshape(-1, 130)[:, 1:128:2].astype(np.int32)
         return np.where(b < 128, b - 255, b), quant[comps[0][2]], size
     hv = [(c[1] >> 4, c[1] & 15) for c in comps]
-    if len(comps) == 1:
+    most = (max(h for h, _ in all_hv), max(v for _, v in all_hv))
+    if single:  # blocks stand in the component's own rows
         hv = [(1, 1)]
-    mx, my = max(h for h, _ in hv), max(v for _, v in hv)
-    mcus = -(-size[0] // (8 * mx)) * -(-size[1] // (8 * my))
+        mcus = -(-size[0] * (hv0 >> 4) // (8 * most[0])) * -(-size[1] * (hv0 & 15) // (8 * most[1]))
+    else:
+        mcus = -(-size[0] // (8 * most[0])) * -(-size[1] // (8 * most[1]))
     pieces = [p.replace(b"\xff\x00", b"\xff") for p in _split_restarts(scan)]
     out, done = [], 0
     for piece in pieces:
@@ -246,6 +298,16 @@ def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
     return np.array(out, np.int32).reshape(-1, 64), quant[comps[0][2]], size
 
 
+def _scan_end(jpeg: bytes, at: int) -> int:
+    """Where the entropy-coded data that begin at `at` end: at the next marker that is no restart."""
+    i = jpeg.find(b"\xff", at)
+    while 0 <= i < len(jpeg) - 1:
+        if jpeg[i + 1] != 0 and not 0xD0 <= jpeg[i + 1] <= 0xD7:
+            return i
+        i = jpeg.find(b"\xff", i + 2)
+    return len(jpeg)
+
+
 def _split_restarts(scan: bytes) -> list[bytes]:
     out, a, i = [], 0, scan.find(b"\xff")
     while 0 <= i < len(scan) - 1:
@@ -285,18 +347,24 @@ def shots(hist: np.ndarray, window: int = 12, factor: float = 3.0, least: float
 
 
 def read(data: bytes) -> dict:
-    """{payload (None if not written here), fps, size, hist (frames, 16), starts of shots}."""
+    """{payload (None if not written here), fps, size, hist (frames, 16), starts of shots,
+    broken}. A frame that can't be decoded counts as the one before it, and as `broken`."""
     found = parse(data)
-    parts, hists, size = [], [], (0, 0)
+    parts, hists, size, broken = [], [], (0, 0), 0
     for start, n in found["frames"]:
-        coefficients, quant, size = decode_frame(data[start : start + n])
-        px = samples(coefficients, quant) >> 4
+        try:
+            coefficients, quant, size = decode_frame(data[start : start + n])
+            px = samples(coefficients, quant) >> 4
+        except (ArithmeticError, LookupError, TypeError, UnboundLocalError, ValueError, struct.error):
+            broken += 1
+            hists.append(hists[-1] if hists else np.eye(16)[0])
+            continue
         hists.append(np.bincount(px.reshape(-1), minlength=16) / max(1, px.size))
         if found["payload"] is not None:
             parts.append(stored_bytes(coefficients))
     hist = np.array(hists).reshape(-1, 16)
-    payload = b"".join(parts)[: found["payload"]] if found["payload"] is not None else None
-    return {"payload": payload, "fps": found["fps"], "size": size, "hist": hist, "shots": shots(hist)}
+    whole = found["payload"] is not None and not broken
+    return {"payload": b"".join(parts)[: found["payload"]] if whole else None, "fps": found["fps"], "size": size, "hist": hist, "shots": shots(hist), "broken": broken}
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -325,11 +393,15 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 CLIP = "struct<clip:int,first_frame:int,n_frames:int,start_s:double,end_s:double,luma:double>"
 _CLIP_TYPE = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("luma", pa.float64())]))
-_READ = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+_READ = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
 
 
 def _row(data: bytes) -> tuple[list, list]:
-    found = read(data)
+    digest = [len(data), hashlib.sha256(data).hexdigest()]
+    try:
+        found = read(data)
+    except (ValueError, struct.error) as e:
+        return [None, None, None, *digest, None, str(e)], []
     p, hist = found["payload"], found["hist"]
     starts = [*found["shots"], len(hist)]
     mean = (hist @ (np.arange(16) * 16 + 8)).tolist()
@@ -340,13 +412,15 @@ def _row(data: bytes) -> tuple[list, list]:
     levels = ".".join(f"{round(1000 * x)}" for x in (hist.mean(axis=0) if len(hist) else []))
     feature = f"{found['size'][0]}x{found['size'][1]} frames={len(hist)} shots={len(clips)} luma={levels}"
     known = [None] * 3 if p is None else [len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])]
-    return [*known, len(data), hashlib.sha256(data).hexdigest(), feature], clips
+    return [*known, *digest, feature, f"{found['broken']} frames" if found["broken"] else None], clips
 
 
 def read_media(media: DataFrame) -> DataFrame:
     """media (doc_id, n_bytes, media): doc_id, n_bytes, the stored payload's length and
     digests as read back (null for files not written here), the file's, a feature string,
-    and clips. A null medium gives nulls and no clips; a broken one raises."""
+    error and clips. error says how many frames could not be decoded (each counts as the one
+    before), or why the file could not be read, which then has no feature and no clips. A
+    null medium gives nulls and no clips."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -356,11 +430,11 @@ def read_media(media: DataFrame) -> DataFrame:
                 row, found = _row(data) if data is not None else ([None] * len(_READ), [])
                 rows.append(row)
                 clips.append(found)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, pa.array(clips, _CLIP_TYPE)], ["doc_id", "n_bytes", *_READ, "clips"])
 
-    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<{CLIP}>"
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string, clips array<{CLIP}>"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 

@@ -24,7 +24,7 @@ def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
 def op3_media_avi(spark, sf_dir: str) -> DataFrame:
     from lineagelake.llm import media_avi
 
-    return media_avi.read_media(media_avi.to_media(table(spark, sf_dir, "documents"))).drop("clips")
+    return media_avi.read_media(media_avi.to_media(table(spark, sf_dir, "documents")))
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

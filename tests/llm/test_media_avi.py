@@ -131,3 +131,82 @@ def test_edge_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as media", "2 as n_bytes", "3 as clips")
     check(df)
     assert av.read_media(av.to_media(df.limit(0))).count() == 0
+
+
+def usual_frame(blocks, scans=1):
+    """A frame coded with the usual tables, which it does not carry; with scans=2 a second
+    component's scan stands before the first one's."""
+    codes = {k: {v: format(c, f"0{n}b") for (n, c), v in av._codes(*av._USUAL[k]).items()} for k in (0, 16)}
+
+    def coded(blocks):
+        out, pred = "", 0
+        for b in blocks:
+            d = b[0] - pred
+            pred, n = b[0], abs(d).bit_length()
+            out += codes[0][n] + (format(d if d > 0 else d + (1 << n) - 1, f"0{n}b") if n else "")
+            run = 0
+            for v in b[1:]:
+                if not v:
+                    run += 1
+                    continue
+                while run > 15:
+                    out, run = out + codes[16][0xF0], run - 16
+                n = abs(v).bit_length()
+                out, run = out + codes[16][run << 4 | n] + format(v if v > 0 else v + (1 << n) - 1, f"0{n}b"), 0
+            out += codes[16][0] if run else ""
+        out += "1" * (-len(out) % 8)
+        return int(out, 2).to_bytes(len(out) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    seg = av._segment
+    head = b"\xff\xd8" + seg(0xDB, b"\x00" + b"\x02" * 64) + seg(0xC0, struct.pack(">BHHB", 8, 8, 8 * len(blocks), scans) + b"".join(bytes((i + 1, 0x11, 0)) for i in range(scans)))
+    scan = lambda i, x: seg(0xDA, bytes((1, i, 0, 0, 63, 0))) + coded(x)
+    return head + (scan(2, [[5] + [0] * 63] * len(blocks)) if scans == 2 else b"") + scan(1, blocks) + b"\xff\xd9"
+
+
+def test_usual_tables_and_scans():
+    assert [sum(x[0]) == len(x[1]) for x in av._USUAL.values()] == [True] * 4
+    rng = np.random.default_rng(6)
+    blocks = [[int(rng.integers(-900, 900)) if i % k == 0 else 0 for i in range(64)] for k in (1, 2, 17, 40, 64)]
+    for scans in (1, 2):
+        got, _, size = av.decode_frame(usual_frame(blocks, scans))
+        assert got.tolist() == blocks and size == (40, 8)
+
+
+def long_movie(levels, with_ix):
+    """Frames in two RIFF segments, the second AVIX, with or without OpenDML indexes."""
+    hdrl = b"hdrl" + av._chunk(b"avih", struct.pack("<14I", 40_000, *[0] * 13))
+    out = b""
+    for part, name in ((levels[:20], b"AVI "), (levels[20:], b"AVIX")):
+        frames = [av._chunk(b"00dc", usual_frame([[(x - 128) * 4] + [0] * 63] * 2)) for x in part]
+        before = name + (av._chunk(b"LIST", hdrl) if name == b"AVI " else b"")
+        base = len(out) + 8 + len(before) + 8
+        at, entries = 4, b""
+        for f in frames:
+            entries += struct.pack("<II", at + 8, len(f) - 8)
+            at += len(f)
+        ix = av._chunk(b"ix00", struct.pack("<HBBI4sQI", 2, 0, 1, len(part), b"00dc", base, 0) + entries) if with_ix else b""
+        out += av._chunk(b"RIFF", before + av._chunk(b"LIST", b"movi" + b"".join(frames) + ix))
+    return out
+
+
+def test_further_segments():
+    levels = [60] * 30 + [180] * 20
+    for with_ix in (True, False):
+        found = av.read(long_movie(levels, with_ix))
+        assert len(found["hist"]) == 50 and found["shots"] == [0, 30] and found["broken"] == 0
+
+
+def test_broken_files(spark):
+    """Cut, scrambled and foreign bytes: a defined row for each, nothing raised."""
+    good = movie([60] * 5 + [180] * 5)
+    rng = np.random.default_rng(7)
+    files = [b"", b"RIFF", b"no media at all", good[:12], good[: len(good) // 2], good.replace(b"\xff\xda", b"\xff\xc2", 1), av.write(b"x" * 640)[:-300]]
+    for _ in range(60):
+        x = bytearray(good)
+        for i in rng.integers(0, len(x), 40):
+            x[i] = int(rng.integers(0, 256))
+        files.append(bytes(x))
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(files)], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in av.read_media(df).collect()}
+    assert len(rows) == len(files) and all(r.media_bytes == len(files[i]) for i, r in rows.items())
+    assert all(rows[i].error == "no AVI file" and not rows[i].clips for i in range(4)) and rows[5].error == "1 frames" and rows[4].clips
