@@ -3,8 +3,9 @@
 All rolling word k-grams of a text are joined to their positions in the notices. A hit at
 word d of the text and word p of a notice lies on the diagonal d - p; a notice that stands
 in the text puts its hits on one diagonal, or on neighbouring ones where words were added
-or left out. Hits are gathered by diagonal, neighbouring diagonals are merged, and a merged
-span is verified by the share of the notice's words that its k-grams cover in order.
+or left out. Hits are gathered by diagonal and neighbouring diagonals are merged. What is
+merged is cut where hits are far apart, and a span is verified by its length and by the
+share of the notice's words that its k-grams cover in their order.
 
 Scale: the notices are a fixed table of a few hundred k-grams, so the join is a broadcast
 join in the scan's stage and only hits are shuffled, by document, notice and diagonal. A
@@ -39,13 +40,29 @@ NOTICES = (
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+    Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+    persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+    substantial portions of the Software."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+    permission notice appear in all copies."""),
+    ("bsd-2-clause", """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must
+    reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("apache-2.0", """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
+    ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("gpl", """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+    PURPOSE. See the GNU General Public License for more details."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
+    software."""),
 )
 
 
 @dataclass(frozen=True)
 class Voting:
-    """k-gram length; how far apart diagonals are merged; the share of a notice's words
-    that its k-grams must cover."""
+    """k-gram length; how far apart diagonals are merged, and how many words may stand
+    between the k-grams of a span; the share of a notice's words that must be covered in
+    order. A span is longer than its notice by at most the rest's share, and `slack` words."""
 
     k: int = 3
     slack: int = 3
@@ -77,17 +94,32 @@ def votes(spark: SparkSession, keyed: DataFrame, rule: Voting) -> DataFrame:
     key = ["doc_id", "text_hash"]
     grams = keyed.select(*key, F.posexplode(_grams(F.col("words"), rule.k)).alias("d", "gram"))
     hits = grams.join(F.broadcast(_notice_grams(spark, rule)), "gram")
-    lines = hits.groupBy(*key, "notice", "label", "n_words", (F.col("d") - F.col("p")).alias("diagonal")).agg(
-        F.collect_set("p").alias("ps"), F.min("d").alias("first"), F.max("d").alias("last")
-    )
+    lines = hits.groupBy(*key, "notice", "label", "n_words", (F.col("d") - F.col("p")).alias("diagonal")).agg(F.collect_list("d").alias("ds"))
     order = Window.partitionBy(*key, "notice").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > rule.slack, F.lit(True))
-    numbered = lines.withColumn("_new", apart.cast("int")).withColumn("island", F.sum("_new").over(order))
-    merged = numbered.groupBy(*key, "notice", "label", "n_words", "island").agg(
-        F.array_distinct(F.flatten(F.collect_list("ps"))).alias("ps"), F.min("first").alias("first"), (F.max("last") + rule.k - 1).alias("last")
+    islands = lines.withColumn("_new", apart.cast("int")).withColumn("island", F.sum("_new").over(order))
+    # An island of scattered hits is cut where the text or the diagonal jumps.
+    placed = islands.select(*key, "notice", "label", "n_words", "island", "diagonal", F.explode("ds").alias("d"))
+    along = Window.partitionBy(*key, "notice", "island").orderBy("d", "diagonal")
+    jump = (F.col("d") - F.lag("d").over(along) > rule.k + rule.slack) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > rule.slack)
+    cut = placed.withColumn("_new", F.coalesce(jump, F.lit(True)).cast("int")).withColumn("span", F.sum("_new").over(along))
+    spans = cut.groupBy(*key, "notice", "label", "n_words", "island", "span").agg(
+        F.array_sort(F.collect_list(F.struct("d", (F.col("d") - F.col("diagonal")).alias("p")))).alias("hs"), F.min("d").alias("first"), (F.max("d") + rule.k - 1).alias("last")
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(p, p + (rule.k - 1))))))
-    return merged.withColumn("share", covered / F.col("n_words")).where(F.col("share") >= rule.share).select(*key, "label", "share", "first", "last")
+    return spans.withColumn("share", _in_order("hs", rule.k) / F.col("n_words")).where(
+        (F.col("share") >= rule.share) & (F.col("last") - F.col("first") + 1 <= F.col("n_words") * (2 - rule.share) + rule.slack)
+    ).select(*key, "label", "share", "first", "last")
+
+
+def _in_order(hits: str, k: int) -> Column:
+    """Words of the notice that hits (in the order of the text) cover going forward."""
+
+    def step(acc: Column, h: Column) -> Column:
+        new = h["p"] + k - F.greatest(h["p"], acc["end"])
+        ahead = h["p"] > acc["last"]
+        return F.struct(F.when(ahead, h["p"]).otherwise(acc["last"]).alias("last"), F.when(ahead, h["p"] + k).otherwise(acc["end"]).alias("end"), (acc["n"] + F.when(ahead, new).otherwise(0)).alias("n"))
+
+    return F.aggregate(hits, F.struct(F.lit(-1).alias("last"), F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
 
 
 def _spaces(text: Column) -> Column:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from lineagelake.llm import license_scan as ls
@@ -18,26 +19,33 @@ def plain(text, rule=ls.Voting()):
         at += found
         labels |= {label} if found else set()
     more, best = set(labels), 1.0 if at else 0.0
+    grams = {}
+    for d in range(len(w) - rule.k + 1):
+        grams.setdefault(tuple(w[d : d + rule.k]), []).append(d)
     for label, notice in rule.notices:
         t = words(notice)
-        lines = {}
-        for d in range(len(w) - rule.k + 1):
-            for p in range(len(t) - rule.k + 1):
-                if w[d : d + rule.k] == t[p : p + rule.k]:
-                    lines.setdefault(d - p, set()).add(p)
-        island, last = set(), None
+        hits = sorted((d - p, d, p) for p in range(len(t) - rule.k + 1) for d in grams.get(tuple(t[p : p + rule.k]), ()))
         islands = []
-        for x in sorted(lines):
-            if last is None or x - last > rule.slack:
-                island = set()
-                islands.append(island)
-            island |= lines[x]
-            last = x
-        for s in islands:
-            share = len({p + j for p in s for j in range(rule.k)}) / len(t)
-            if share >= rule.share:
-                more.add(label)
-                best = max(best, share)
+        for x in hits:
+            if not islands or x[0] - islands[-1][-1][0] > rule.slack:
+                islands.append([])
+            islands[-1].append(x)
+        for island in islands:
+            spans = []
+            for diagonal, d, p in sorted(island, key=lambda x: (x[1], x[0])):
+                if not spans or d - spans[-1][-1][0] > rule.k + rule.slack or abs(diagonal - spans[-1][-1][2]) > rule.slack:
+                    spans.append([])
+                spans[-1].append((d, p, diagonal))
+            for span in spans:
+                seen, last = set(), -1
+                for _, p, _ in sorted(x[:2] + x[2:] for x in span):
+                    if p > last:
+                        seen |= set(range(p, p + rule.k))
+                        last = p
+                share = len(seen) / len(t)
+                if share >= rule.share and span[-1][0] - span[0][0] + rule.k <= len(t) * (2 - rule.share) + rule.slack:
+                    more.add(label)
+                    best = max(best, share)
     return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(more)), round(best, 9))
 
 
@@ -63,3 +71,22 @@ def test_edge_rows(spark):
     got = check(df)
     assert sum(r[0] == 7 for r in got) == 2
     assert ls.scan(df.limit(0)).count() == 0
+
+
+def test_scattered_and_shuffled_notices(spark):
+    """A notice's pieces far apart, or in another order, are no notice; whole ones with small changes are."""
+    notice = words(ls.NOTICES[13][1])
+    pieces = [notice[i : i + 6] for i in range(0, len(notice), 6)]
+    fill = lambda n: [f"w{n}x{i}" for i in range(2)]
+    rng = random.Random(1)
+    mixed = pieces[:]
+    rng.shuffle(mixed)
+    rows = [
+        (1, " ".join(notice)), (2, " ".join(w for i, p in enumerate(pieces) for w in p + [f"z{i}y{j}" for j in range(12)])), (3, " ".join(w for p in mixed for w in p)),
+        (4, " ".join(w for i, p in enumerate(pieces) for w in p + (fill(i) if i % 5 == 0 else []))), (5, " ".join(notice[:20])), (6, "before " * 40 + " ".join(notice) + " and " + " ".join(notice)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df)
+    labels = {r.doc_id: r.labels for r in ls.scan(df).collect()}
+    # The opening sentence is a notice of its own.
+    assert labels[1] == labels[4] == labels[6] == "mit" and labels[2] == labels[3] == "" and labels[5] == "mit"
