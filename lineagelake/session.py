@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,20 +14,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for checkpoints, in the one that spark.checkpoint.dir names.
 
     Only where the session names none (tests, local mode) is a folder of our own set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         conf = sc.getConf().get("spark.checkpoint.dir")
         if conf is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="lineagelake-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder.
+
+    A checkpoint keeps the estimate of its plan's size, and a join multiplies estimates, so
+    over the rounds of a loop they grow to numbers of millions of digits that take the
+    driver minutes to multiply. A table has its files' size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def own_exchange(df: DataFrame, *keys: str) -> DataFrame:
     """Recompute integer keys so that a following join shuffles this side by itself.
 
