@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineagelake.session import checkpoint, own_exchange
+from lineagelake.session import own_exchange, stored
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -42,10 +42,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Returns (node, root): root is the smallest node reachable. Nodes without an edge
     to another node have no row. No edges: an empty frame.
     """
-    now = checkpoint(edges.where("u <> v").select("u", "v").distinct())
+    now = stored(edges.where("u <> v").select("u", "v").distinct())
     mark = _mark(now)
     for _ in range(max_rounds):
-        now = checkpoint(_small_star(_large_star(now)))
+        now = stored(_small_star(_large_star(now)))
         mark, last = _mark(now), mark
         if mark == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
