@@ -80,9 +80,33 @@ def op10_url_filter(spark, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, judged)
 
 
+def op12_vector_packing(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lineagelake.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_lexical_search(spark, sf_dir: str) -> DataFrame:
+    from lineagelake.llm import lexical
+
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), z AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM d),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark), p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY t, nn),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS BIGINT) AS score FROM i JOIN p USING (t) JOIN w USING (t), z GROUP BY ALL)
+SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_lexical_search": OP13}
