@@ -80,6 +80,12 @@ def op10_url_filter(spark, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, judged)
 
 
+def op11_collocations(spark, sf_dir: str) -> DataFrame:
+    from lineagelake.llm import collocations
+
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -101,6 +107,16 @@ def queries() -> dict:
 _SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = rf"regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
+OP11 = rf"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_SMALL}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM t), i AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 6) AS z(k)),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM i GROUP BY ALL), z AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
+s AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.lang = c.lang AND d.k > c.k AND 100 * d.a >= 100 * c.a AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM s), v AS (SELECT u.lang, u.phrase, cut, a, l.f AS l, r.f AS r, n, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+FROM u JOIN z USING (lang) JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.ws[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.ws[cut + 1:u.k], ' ')),
+b AS (SELECT lang, phrase, a, l, r, n, score FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b) WHERE rank <= 2000"""
+
 OP13 = f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), z AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM d),
 i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark), p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
 w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY t, nn),
@@ -109,4 +125,4 @@ SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_lexical_search": OP13}
+    return {"op11_collocations": OP11, "op13_lexical_search": OP13}
