@@ -3,8 +3,8 @@
 A message's lines carry nested quote marks. Runs of lines of one level are passages; quoted
 passages are hashed in a normal form and joined to the messages of the same conversation
 that first said them. A quoted passage is asked for whole, and where nobody said it so, by
-its paragraphs, and then by its lines, so that a quote of a part is linked too. The links
-make a reply tree, and conversations are built in reply order from what is left without
+its paragraphs, and then by its lines, so that a quote of a part is linked too. Passages of
+any length are linked alike. The links make a reply tree, and conversations are built in reply order from what is left without
 quotes.
 
 Scale: what is said is first cut to one row for each conversation and hash (an ordinary
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from lineagelake.session import checkpoint, own_exchange
 
 _MARKS = r"^[ \t]*((?:>[ \t]?)*)"
-_SHORT = 8  # characters; shorter passages are linked only where one earlier message alone said them
 
 
 def normal(text: Column) -> Column:
@@ -93,17 +92,13 @@ def link(messages: DataFrame) -> DataFrame:
     t = F.col("q.text")
     ways = F.array(*[F.struct(F.lit(i).alias("way"), x.alias("forms")) for i, x in enumerate((F.array(t), _paragraphs(t), F.split(t, "\n")))])
     asked = split.select(*key, F.posexplode("q").alias("at", "q")).select(*key, "at", F.explode(ways).alias("w")).select(*key, "at", "w.way", F.explode(_forms(F.col("w.forms"))).alias("n"))
-    asked = asked.select(*key, "at", "way", (F.length("n") < _SHORT).alias("short"), F.sha2("n", 256).alias("hash"))
+    asked = asked.select(*key, "at", "way", F.sha2("n", 256).alias("hash"))
     units = _forms(F.concat(F.array("content"), F.col("own"), _paragraphs(F.col("content")), F.split("content", "\n")))
     said = split.select(*key, F.explode(units).alias("n")).select(*key, F.sha2("n", 256).alias("hash"))
-    # Only what some message quotes is needed, and of each the first message alone.
+    # Only what some message quotes is needed, and of each the first message alone; who says it later takes no link away.
     needed = said.join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
-    first = needed.groupBy("conv_id", "hash").agg(F.min(F.struct("turn", "variant")).alias("origin"), F.max(F.struct("turn", "variant")).alias("last"))
+    first = needed.groupBy("conv_id", "hash").agg(F.min(F.struct("turn", "variant")).alias("origin"))
     found = asked.join(own_exchange(first, "conv_id"), ["conv_id", "hash"]).where("origin.turn < turn")
-    # A short passage needs a single origin; that messages say it later than it is asked for takes nothing away.
-    only = needed.groupBy("conv_id", "hash").agg(F.count("*").alias("times"))
-    short = found.where("short").join(own_exchange(only, "conv_id"), ["conv_id", "hash"]).where("times = 1").drop("times")
-    found = found.where("not short").unionByName(short)
     best = found.groupBy(*key, "at").agg(F.min(F.struct("way", (-F.col("origin.turn")).alias("back"), F.col("origin.variant").alias("v"))).alias("b"))
     links = best.groupBy(*key).agg(F.max(F.struct((-F.col("b.back")).alias("turn"), F.col("b.v").alias("variant"))).alias("up"), F.count("*").alias("n_linked"))
     out = split.select(*key, "role", "content", F.size("q").cast("long").alias("n_quotes"))

@@ -38,7 +38,7 @@ def plain(rows):
                 met = []
                 for n in {normal(x) for x in forms} - {""}:
                     by = said.get((k[0], n), [])
-                    if by and min(x[1] for x in by) < k[1] and (len(n) >= 8 or len(by) == 1):
+                    if by and min(x[1] for x in by) < k[1]:
                         met.append(min(x[1] for x in by))
                 if met:
                     hits.append(max(met))
@@ -106,7 +106,7 @@ def test_conversations_table(spark):
 
 
 def test_parts_of_messages(spark):
-    """Lines, paragraphs and interleaved passages are linked; short ones where nobody else said them."""
+    """Lines, paragraphs and interleaved passages are linked, short ones to whoever said them first."""
     five = "first line here\nsecond line here\nthird line here\nfourth line here\nfifth line here"
     three = "paragraph one is\nof two lines\n\nparagraph two alone\n\nparagraph three last"
     rows = [
@@ -117,7 +117,14 @@ def test_parts_of_messages(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert got(df) == plain(rows)
     parents = {(r.conv_id, r.turn): r.parent for r in cq.conversations(df).collect()}
-    assert [parents[k] for k in ((1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (5, 2), (6, 1))] == [0, 0, 0, 1, 0, None, 0]
+    assert [parents[k] for k in ((1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (5, 2), (6, 1))] == [0, 0, 0, 1, 0, 0, 0]
+
+
+def test_later_sayings_take_no_link_away(spark):
+    """A short quote stays linked if it is said again later, or by the one who quotes it."""
+    rows = [(1, 1, "u", "Yes."), (1, 2, "a", "> Yes.\nfine"), (2, 1, "u", "Yes."), (2, 2, "a", "> Yes.\nfine"), (2, 3, "u", "Yes."), (3, 1, "u", "Yes."), (3, 2, "a", "> Yes.\nYes."), (4, 1, "u", "> Yes.\nYes.")]
+    found = {(r.conv_id, r.turn): (r.n_linked, r.parent) for r in cq.conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [found[c, 2] for c in (1, 2, 3)] == [(1, 1)] * 3 and found[4, 1] == (0, None)
 
 
 def test_very_long_message(spark):
