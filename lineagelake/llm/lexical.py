@@ -33,7 +33,7 @@ _BREAKS = bytes(c for c in range(0x80) if not chr(c).isalnum())
 _TABLE = bytes.maketrans(_BREAKS + UPPER.encode(), b" " * len(_BREAKS) + LOWER.encode())
 # Distinct terms of the items of a block, together; postings of a task.
 BLOCK_TERMS = 200_000
-TASK_POSTINGS = 4_000_000
+TASK_POSTINGS = 1_000_000
 CHUNK = 1 << 22
 
 
