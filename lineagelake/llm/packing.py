@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,33 +32,36 @@ from pyspark.sql import functions as F
 
 from lineagelake.session import stored
 
-# Characters of pieces that are kept with their ids; past it the cache begins anew.
+# Characters of parts that are kept with their ids; past it the cache begins anew.
 CACHE_CHARS = 16_000_000
 CHARS = 1 << 20
-# Up to here all Unicode versions agree on what is a letter, number or white space.
-_OTHER = "[^\x00-ɏ]"
+LINES = 256
+MARKS = ".,;:!?"
 _STATIC: dict = {}
 
 
 class _Ids:
-    """Ids of texts by the tokenizers library. Its pre-tokeniser's pieces are encoded once
-    each and then looked up; texts with characters past Latin go to the library whole."""
+    """Ids of texts by the tokenizers library.
 
-    def __init__(self, path: str):
-        import public_tokenizers
-        import regex
+    A plain space before anything but white space always begins a piece of the
+    pre-tokeniser, whatever stands around. So texts are split at their spaces, and what
+    stands between is encoded once and then looked up. Texts with a space beside other white
+    space, whose pieces may lie across, go to the library whole."""
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.other = regex.compile(_OTHER).search
+        self.wide = re.compile(r" \s|\s \Z").search
+        self.white = re.compile(r"\s").search
+        (self.feed,) = self._whole(["\n"])[0]
+        self.marks = {c: x[0] for c, x in zip(MARKS, self._whole(list(MARKS)))}
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = _Numbers()
         self.chars = 0
         self.size = self.off = np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
@@ -64,35 +69,71 @@ class _Ids:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        ids = self._whole(new)
+    def _learn(self) -> None:
+        """Ids of the parts that came anew. A part stands for itself with a space in front,
+        one that has the space for the beginning of a text. Many go to the library as lines
+        of one text: a line feed before a space is a piece of its own, and ends a part."""
+        old = len(self.size)
+        ended = [p for p in self.at.new if p[-1:] in MARKS and p[-2:-1].isalnum()]
+        bases = {p: self.at[p[:-1]] for p in ended}  # a mark after a letter or digit is a piece of its own
+        new, self.at.new = self.at.new, []
+        texts = [p[1:] if p[:1] == " " else " " + p for p in new]
+        rest = [i for i, p in enumerate(new) if p not in bases]
+        alone = [i for i in rest if texts[i][:1] != " " or self.white(texts[i], 1)]
+        lines = sorted(set(rest) - set(alone))
+        ids: list = [None] * len(new)
+        groups = [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
+        for group, found in zip(groups, self._whole(["\n".join([texts[i] for i in g]) + "\n" for g in groups])):
+            begin = 0
+            for i in group:
+                end = found.index(self.feed, begin)
+                ids[i] = found[begin:end]
+                begin = end + 1
+        for i, x in zip(alone, self._whole([texts[i] for i in alone])):
+            ids[i] = x
+        for p, k in bases.items():
+            base = ids[k - old] if k >= old else self.flat[self.off[k] : self.off[k] + self.size[k]].tolist()
+            ids[self.at[p] - old] = [*base, self.marks[p[-1]]]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
         self.off = np.concatenate([self.off, len(self.flat) + np.cumsum(size) - size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((t for x in ids for t in x), np.uint32, int(size.sum()))])
         self.chars += sum(map(len, new))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.chars > CACHE_CHARS:
             self.clear()
-        plain = [i for i, t in enumerate(texts) if not self.other(t)]
-        pieces = [self.split(texts[i]) for i in plain]
-        if new := list(dict.fromkeys(p for ps in pieces for p in ps if p not in self.at)):
-            self._learn(new)
-        count = [len(ps) for ps in pieces]
-        k = np.fromiter((self.at[p] for ps in pieces for p in ps), np.int64, sum(count))
+        wide = [bool(self.wide(t)) for t in texts]
+        parts: list[str] = []
+        ends = [0]
+        for t, w in zip(texts, wide):
+            if not w:
+                first, *rest = t.split(" ")
+                parts.append(" " + first)
+                parts += rest
+                ends.append(len(parts))
+        k = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
+        self._learn()
         size = self.size[k]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(upto[-1]) + np.repeat(self.off[k] - upto[:-1], size)]
-        cut = upto[np.concatenate([[0], np.cumsum(count, dtype=np.int64)])]
-        out: list = [None] * len(texts)
-        for j, i in enumerate(plain):
-            out[i] = ids[cut[j] : cut[j + 1]]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self._whole([texts[i] for i in rest])):
-            out[i] = np.array(x, np.uint32)
-        return out
+        cut = upto[ends].tolist()
+        plain = (ids[a:b] for a, b in zip(cut, cut[1:]))
+        whole = iter(self._whole([t for t, w in zip(texts, wide) if w]))
+        return [np.array(next(whole), np.uint32) if w else next(plain) for w in wide]
+
+
+class _Numbers(dict):
+    """Numbers parts as they come, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        self.new.append(part)
+        return n
 
 
 def tokenised(docs: DataFrame, path: str, tokens: int, end: int = 0) -> DataFrame:
