@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineagelake.operators.catalog import numbered
 from lineagelake.session import stored
 
 UNKNOWN = "und"
@@ -46,6 +46,10 @@ class _Dictionary(dict):
         return n
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def _squeeze(ids: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(ids, "<i4").tobytes(), codec="zstd", asbytes=True)
 
@@ -55,8 +59,9 @@ def _expand(blob: bytes, n: int) -> np.ndarray:
 
 
 def shards(docs: DataFrame) -> DataFrame:
-    """docs (lang, text): shard, lang, its words with their counts, n and ids, the words of
-    its texts in order by place among `words`, BREAK between pieces."""
+    """docs (lang, text): shard, lang, its different words (m of them) with their counts, and
+    n and ids, the words of its texts in order by place among these, BREAK between pieces.
+    Words stand in the order of a hash, so that any ranges of hashes are slices of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, {}, 0
@@ -64,13 +69,16 @@ def shards(docs: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, held, size
             for lang, (words, runs) in held.items():
-                ids = np.concatenate(runs) - 2
-                ids = ids[ids >= BREAK]
-                names = list(words)[2:]
+                ids, names = np.concatenate(runs), list(words)[2:]
+                ids = ids[ids > 0]
+                order = np.argsort(_hashes(names), kind="stable")
+                place = np.empty(len(names) + 2, np.int32)
+                place[1], place[order + 2] = BREAK, np.arange(len(names))
+                ids = place[ids]
                 counts = np.bincount(ids[ids >= 0], minlength=len(names))
-                row = [[(part << 32) + number], [lang], [names], [counts], [len(ids)], [_squeeze(ids)]]
-                kinds = pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64(), pa.binary()
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], ["shard", "lang", "words", "counts", "n", "ids"])
+                row = (part << 32) + number, lang, len(names), int(counts.sum()), b"\n".join([names[i] for i in order.tolist()]), counts.tobytes(), len(ids), _squeeze(ids)
+                kinds = pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["shard", "lang", "m", "total", "words", "counts", "n", "ids"])
                 number += 1
             held, size = {}, 0
 
@@ -90,7 +98,62 @@ def shards(docs: DataFrame) -> DataFrame:
         yield from flush()
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
-    return docs.select(lang.alias("lang"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "shard long, lang string, words array<binary>, counts array<long>, n long, ids binary")
+    return docs.select(lang.alias("lang"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "shard long, lang string, m long, total long, words binary, counts binary, n long, ids binary")
+
+
+def _word_slices(held: DataFrame, range_bits: int) -> DataFrame:
+    """(at, shard, lang, words, counts): each shard's words cut by ranges of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, lang, m, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if not m:
+                    continue
+                names, counts = words.split(b"\n"), np.frombuffer(counts, np.int64)
+                top = (_hashes(names) >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(m, np.int64)
+                ranges, first = np.unique(top, return_index=True)
+                cuts = [*first.tolist(), m]
+                columns = [ranges, [shard] * len(ranges), [lang] * len(ranges), [b"\n".join(names[a:b]) for a, b in zip(cuts, cuts[1:])], [counts[a:b] for a, b in zip(cuts, cuts[1:])]]
+                kinds = pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["at", "shard", "lang", "words", "counts"])
+
+    return held.select("shard", "lang", "m", "words", "counts").mapInArrow(run, "at long, shard long, lang string, words binary, counts array<long>")
+
+
+def _merged_words(cut: DataFrame, range_bits: int, least: int) -> DataFrame:
+    """Adds up each range's words: at, shard, size and wids: the numbers of the slice's words,
+    BREAK for a rare one; and rows without a shard for the frequent ones: lang, words, counts,
+    numbers. A number is the word's place among the range's frequent ones, times the number
+    of ranges, and the range."""
+
+    def run(table: pa.Table) -> pa.Table:
+        at = table.column("at")[0].as_py()
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("shard", "lang", "words", "counts"))))
+        known: dict[str, _Dictionary] = {}
+        slots = []
+        for _, lang, words, _ in rows:
+            d = known.setdefault(lang, _Dictionary())
+            names = words.split(b"\n")
+            slots.append(np.fromiter(map(d.__getitem__, names), np.int64, len(names)))
+        out: list[tuple] = []
+        number, used = {}, 0
+        for lang, d in sorted(known.items()):
+            total = np.zeros(len(d), np.int64)
+            for slot, r in zip(slots, rows):
+                if r[1] == lang:
+                    total[slot] += r[3]
+            good = np.flatnonzero(total >= least)
+            number[lang] = np.full(len(d), BREAK, np.int64)
+            number[lang][good] = ((used + np.arange(len(good))) << range_bits) + at
+            used += len(good)
+            names = list(d)
+            if len(good):
+                out.append((at, None, None, None, lang, [names[i] for i in good.tolist()], total[good], number[lang][good]))
+        out += [(at, r[0], len(slot), _squeeze(number[r[1]][slot]), None, None, None, None) for slot, r in zip(slots, rows)]
+        kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())
+        return pa.table([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=["at", "shard", "size", "wids", "lang", "words", "counts", "numbers"])
+
+    return cut.groupBy("at").applyInArrow(run, "at long, shard long, size long, wids binary, lang string, words array<binary>, counts array<long>, numbers array<long>")
 
 
 def _stretches(ids: np.ndarray, good: np.ndarray, width: int) -> np.ndarray:
@@ -303,18 +366,16 @@ def narrowed(state: DataFrame, told: DataFrame, packing: Packing, range_bits: in
     return both.mapInArrow(run, "shard long, n long, ids binary")
 
 
-def _known(held: DataFrame, words: DataFrame, listed: DataFrame) -> DataFrame:
-    """Shards with the numbers of frequent words for their own, cut to stretches of these.
-    listed: (shard, lang, word, place)."""
-    mine = listed.join(words.select("lang", "word", "wid"), ["lang", "word"]).groupBy("shard").agg(F.collect_list("place").alias("place"), F.collect_list("wid").alias("wid"))
-    both = held.select("shard", "n", "ids", F.size("words").alias("m")).join(mine, "shard")
+def _known(held: DataFrame, told: DataFrame) -> DataFrame:
+    """Shards with the numbers of frequent words for their own, cut to stretches of these."""
+    by = told.where("shard is not null").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "size", "wids"))).alias("told"))
+    both = held.select("shard", "n", "ids").join(by, "shard").select("shard", "n", "ids", F.col("told.size").alias("size"), F.col("told.wids").alias("wids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                shard, n, blob, m = (batch.column(j)[i].as_py() for j in range(4))
-                number = np.full(m + 1, BREAK, np.int32)  # the last one for BREAK itself
-                number[batch.column(4)[i].values.to_numpy()] = batch.column(5)[i].values.to_numpy()
+            for shard, n, blob, size, wids in zip(*(c.to_pylist() for c in batch.columns)):
+                # One number more, for BREAK itself.
+                number = np.concatenate([*(_expand(w, s) for w, s in zip(wids, size)), np.array([BREAK], "<i4")])
                 ids = number[_expand(blob, n)]
                 good = np.zeros(len(ids), bool)
                 good[:-1] = (ids[:-1] >= 0) & (ids[1:] >= 0)
@@ -329,15 +390,16 @@ def counted(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFr
     """(totals (lang, n), words (wid, lang, word, f), grams (ids, f)): all words of each
     language, and the words and phrases of up to `longest` words that occur `least` times."""
     held = stored(shards(docs))
-    listed = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("shard", "lang", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    totals = stored(listed.groupBy("lang").agg(F.sum("c").alias("n")))
-    frequent = listed.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    words = stored(numbered(frequent, "lang", "word", name="wid"))
+    totals = stored(held.groupBy("lang").agg(F.sum("total").alias("n")))
+    cut_at = max(0, ((held.agg(F.sum("m")).first()[0] or 0) // RANGE_ENTRIES).bit_length())
+    told = stored(_merged_words(_word_slices(held, cut_at), cut_at, least))
+    frequent = told.where("shard is null").select("lang", F.explode(F.arrays_zip("words", "counts", "numbers")).alias("x"))
+    words = stored(frequent.select(F.col("x.numbers").alias("wid"), "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("f")))
     bits = max(1, (words.agg(F.max("wid")).first()[0] or 0).bit_length())
     if bits > 31:
         raise ValueError("over 2^31 frequent words")
     grams = [words.select(F.array("wid").alias("ids"), "f")]
-    state = stored(_known(held, words, listed))
+    state = stored(_known(held, told))
     for n in range(2, longest + 1):
         size = state.agg(F.sum("n")).first()[0]
         if not size:
