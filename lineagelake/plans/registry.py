@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineagelake.config import LEVELS, PRIORS, THRESHOLDS
 from lineagelake.functions import barcode
-from lineagelake.operators import alignment, mixture, profile, sketch
+from lineagelake.operators import alignment, mixture, neighbours, profile, sketch
 from lineagelake.operators import catalog as cat
 from lineagelake.plans import mapping
 from lineagelake.session import checkpoint, table
@@ -401,14 +401,27 @@ def bootstrap_sample(spark, sf_dir):
 
 TERMS = " + ".join(f"{f} * " + (f"lead(code, {j}) OVER w" if j else "code") for j, f in enumerate(sketch.multipliers(K)))
 (M1, F1), (M2, F2) = sketch.HALVES
-SKETCHES = f"""chars AS (SELECT doc_id, generate_subscripts(c, 1) AS i, CAST(unicode(unnest(c)) AS BIGINT) AS code FROM (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) >= {K})),
-sums AS (SELECT doc_id, {TERMS} AS v FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-mers AS (SELECT DISTINCT doc_id, v % {M1} * {F1} % {M1} * 2147483648 + v % {M2} * {F2} % {M2} AS h FROM sums WHERE v IS NOT NULL),
-sk AS (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n FROM mers), held AS (SELECT doc_id, h FROM sk WHERE n <= {S}), lists AS (SELECT doc_id, list(h ORDER BY h) AS hs FROM held GROUP BY 1)"""
-NEAREST = f"""{SKETCHES}, first AS (SELECT h, min(doc_id) AS parent FROM held GROUP BY 1), met AS (SELECT DISTINCT doc_id, parent FROM held JOIN first USING (h) WHERE parent < doc_id),
-un AS (SELECT m.doc_id, m.parent, list_sort(list_distinct(list_concat(a.hs, b.hs)))[1:{S}] AS un, a.hs AS ah, b.hs AS bh FROM met m JOIN lists a ON a.doc_id = m.doc_id JOIN lists b ON b.doc_id = m.parent),
-ds AS (SELECT doc_id, parent, len(list_intersect(list_intersect(un, ah), bh)) / len(un) AS j FROM un), dd AS (SELECT doc_id, parent, CASE WHEN j > 0 THEN greatest(0.0, -ln(2 * j / (1 + j)) / {K}) ELSE 1.0 END AS dist FROM ds),
-nearest AS (SELECT doc_id, arg_min(parent, {{'d': dist, 'p': parent}}) AS parent, min(dist) AS dist FROM dd GROUP BY 1)"""
+
+
+def _sketch_sql(source: str, key: str, x: str = "") -> str:
+    """CTEs with the sketches of a table's texts; x is put behind their names."""
+    return f"""chars{x} AS (SELECT {key}, generate_subscripts(c, 1) AS i, CAST(unicode(unnest(c)) AS BIGINT) AS code FROM (SELECT {key}, string_split(text, '') AS c FROM {source} WHERE length(text) >= {K})),
+sums{x} AS (SELECT {key}, {TERMS} AS v FROM chars{x} WINDOW w AS (PARTITION BY {key} ORDER BY i)),
+mers{x} AS (SELECT DISTINCT {key}, v % {M1} * {F1} % {M1} * 2147483648 + v % {M2} * {F2} % {M2} AS h FROM sums{x} WHERE v IS NOT NULL),
+sk{x} AS (SELECT {key}, h, row_number() OVER (PARTITION BY {key} ORDER BY h) AS n FROM mers{x}), held{x} AS (SELECT {key}, h FROM sk{x} WHERE n <= {S}), lists{x} AS (SELECT {key}, list(h ORDER BY h) AS hs FROM held{x} GROUP BY 1)"""
+
+
+def _distance_sql(x: str, a: str, b: str) -> str:
+    """CTE dd{x}: (a, b, dist) of the pairs in met{x}, whose arrays are ah and bh."""
+    return f"""un{x} AS (SELECT *, list_sort(list_distinct(list_concat(ah, bh)))[1:{S}] AS un FROM met{x}), ds{x} AS (SELECT {a}, {b}, len(list_intersect(list_intersect(un, ah), bh)) / len(un) AS j FROM un{x}),
+dd{x} AS (SELECT {a}, {b}, CASE WHEN j > 0 THEN greatest(0.0, -ln(2 * j / (1 + j)) / {K}) ELSE 1.0 END AS dist FROM ds{x} WHERE j > 0)"""
+
+
+SKETCHES = _sketch_sql("documents", "doc_id")
+# Every earlier row that shares a hash is compared.
+NEAREST = f"""{SKETCHES}, pairs AS (SELECT DISTINCT a.doc_id, b.doc_id AS parent FROM held a JOIN held b USING (h) WHERE b.doc_id < a.doc_id),
+met AS (SELECT p.doc_id, p.parent, a.hs AS ah, b.hs AS bh FROM pairs p JOIN lists a ON a.doc_id = p.doc_id JOIN lists b ON b.doc_id = p.parent), {_distance_sql("", "doc_id", "parent")},
+nearest AS (SELECT doc_id, arg_min(parent, {{'d': round(dist, 12), 'p': parent}}) AS parent, min(dist) AS dist FROM dd GROUP BY 1)"""
 
 
 def _sketches(spark, sf_dir):
@@ -422,7 +435,7 @@ def kmer_sketches(spark, sf_dir):
 
 @query(f"WITH {NEAREST} SELECT doc_id, parent, round(dist, 6) AS dist FROM nearest")
 def nearest_neighbours(spark, sf_dir):
-    return sketch.nearest_earlier(_sketches(spark, sf_dir), "doc_id", K, S).select("doc_id", "parent", _r("dist"))
+    return neighbours.nearest_earlier(_sketches(spark, sf_dir), "doc_id", K, S).select("doc_id", "parent", _r("dist"))
 
 
 def _roots(level: str, threshold: float) -> str:
@@ -435,13 +448,34 @@ def cluster_addresses(spark, sf_dir):
     return sketch.addresses(_sketches(spark, sf_dir), "doc_id", K, S)
 
 
-@query()
-def sketch_search(spark, sf_dir):
-    """Benchmark passages are searched for among all documents, by representatives."""
-    held = checkpoint(_sketches(spark, sf_dir))
+SEARCH = f"""{SKETCHES}, {_sketch_sql("benchmark", "item_id", "_b")}, pairs_s AS (SELECT DISTINCT a.item_id AS query, b.doc_id FROM held_b a JOIN held b USING (h)),
+met_s AS (SELECT p.query, p.doc_id, a.hs AS ah, b.hs AS bh FROM pairs_s p JOIN lists_b a ON a.item_id = p.query JOIN lists b ON b.doc_id = p.doc_id), {_distance_sql("_s", "query", "doc_id")},
+found AS (SELECT query, doc_id, dist FROM (SELECT *, min(dist) OVER (PARTITION BY query) AS best FROM dd_s WHERE dist <= 0.1) WHERE 1 - dist >= 0.98 * (1 - best))"""
+
+
+def _found(spark, sf_dir, held):
     asked = sketch.sketches(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text"), "query", "text", K, S)
-    found = sketch.search(asked, held, sketch.addresses(held, "doc_id", K, S), "doc_id", K, S)
-    return found.select("query", "doc_id", _r("dist"))
+    return neighbours.search(asked, held, "doc_id", K, S)
+
+
+@query(f"WITH {SEARCH} SELECT query, doc_id, round(dist, 6) AS dist FROM found")
+def sketch_search(spark, sf_dir):
+    """Benchmark passages are searched for among all documents."""
+    return _found(spark, sf_dir, checkpoint(_sketches(spark, sf_dir))).select("query", "doc_id", _r("dist"))
+
+
+SAMPLES = f"""chars_m AS (SELECT source, doc_id, generate_subscripts(c, 1) AS i, CAST(unicode(unnest(c)) AS BIGINT) AS code FROM (SELECT source, doc_id, string_split(text, '') AS c FROM documents WHERE length(text) >= {K})),
+sums_m AS (SELECT source, {TERMS} AS v FROM chars_m WINDOW w AS (PARTITION BY doc_id ORDER BY i)), mers_m AS (SELECT source, v % {M1} * {F1} % {M1} * 2147483648 + v % {M2} * {F2} % {M2} AS h FROM sums_m WHERE v IS NOT NULL),
+often AS (SELECT source, h, row_number() OVER (PARTITION BY source ORDER BY h) AS n FROM (SELECT source, h FROM mers_m GROUP BY ALL HAVING count(*) >= 2)),
+samples AS (SELECT source, list(h ORDER BY h) AS hs FROM often WHERE n <= {S} GROUP BY 1)"""
+
+
+@query(f"WITH {SAMPLES} SELECT m.source, count(*) AS n_kmers, any_value(len(hs)) AS n_hashes, any_value(hs[1]) AS least, any_value(hs[-1]) AS largest, any_value(CAST(list_sum(list_transform(hs, lambda x: x % 1000003)) AS BIGINT)) AS digest FROM mers_m m JOIN samples USING (source) GROUP BY 1")
+def sample_sketch(spark, sf_dir):
+    """Each source's documents are the reads of a sample; k-mers that occur twice in it count."""
+    found = sketch.sample_sketches(table(spark, sf_dir, "documents"), "source", "text", K, S)
+    digest = F.aggregate("hashes", F.lit(0).cast("long"), lambda acc, x: acc + x % 1000003)
+    return found.select("source", "n_kmers", F.size("hashes").cast("long").alias("n_hashes"), F.element_at("hashes", 1).alias("least"), F.element_at("hashes", -1).alias("largest"), digest.alias("digest"))
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ import pytest
 
 from lineagelake.config import Settings
 from lineagelake.functions import barcode, poisson
-from lineagelake.operators import alignment, catalog, mixture, profile, sketch
+from lineagelake.operators import alignment, catalog, mixture, neighbours, profile, sketch
 
 
 def test_settings(tmp_path):
@@ -82,7 +82,7 @@ def test_sketch_distance_and_addresses(spark):
     far = "".join(rng.choice(list("ACGT"), 3000))
     df = spark.createDataFrame([(1, base), (2, near), (3, far), (4, base), (5, "AC"), (6, None)], "id long, seq string")
     held = sketch.sketches(df, "id", "seq", 23, 400, bases=True)
-    d = {r.id: (r.parent, r.dist) for r in sketch.nearest_earlier(held, "id", 23, 400).collect()}
+    d = {r.id: (r.parent, r.dist) for r in neighbours.nearest_earlier(held, "id", 23, 400).collect()}
     assert d[2][0] == 1 and d[2][1] < 0.002 and d[4] == (1, 0.0) and 3 not in d
     at = {r.id: r for r in sketch.addresses(held, "id", 23, 400).collect()}
     assert at[2].m == 1 and at[4].c == 1 and at[3].u == 3 and at[5].u == 5 and at[4].a == 4 and at[6].u == 6
