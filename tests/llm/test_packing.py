@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -113,11 +114,10 @@ def test_edge_rows(spark):
     assert [r.doc_id for r in same] == [None] * 5 and len({(r.sequence_id, r.offset) for r in same}) == 5
 
 
-def test_cache_begins_anew(monkeypatch):
-    ids = packing._Ids(PATH)
-    monkeypatch.setattr(packing, "CACHE_CHARS", 5)
-    texts = ["some words here", "other words there", "some words here"]
-    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
-    for t, w in zip(texts, want):
-        assert ids([t])[0].tolist() == w
-    assert len(ids.at) <= 4
+def test_ids_are_those_of_tokenizers():
+    ids, rng = packing._Ids(PATH), random.Random(1)
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    alphabet = ["a", "B", "7", " ", "  ", "\n", "\t", " \n", "'s", "'", "ll", ".", ",", "!", "é", "中", "\u00a0", "\x1c", "ß", "½", "\r\n", "<|endoftext|>", "#", "_", "🙂", "e\u0301", "\u2003", "?", "x y", "١", "\x00"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(5000)] + [" " * 50_000 + "x", "\n" * 3000, "ab" * 40_000]
+    assert [ids(x).tolist() for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
