@@ -479,9 +479,9 @@ def sample_sketch(spark, sf_dir):
 
 
 def queries() -> dict:
-    from lineagelake.plans import extended  # registers its own
+    from lineagelake.plans import extended, indexed  # these register their own
 
-    assert extended
+    assert extended and indexed
     return dict(QUERIES)
 
 
