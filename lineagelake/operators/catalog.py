@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,10 @@ SIZE_BUCKETS = (
 )
 
 
+# SHA-256 of nothing.
+EMPTY = hashlib.sha256().hexdigest()
+
+
 def active(catalog: DataFrame, include_deleted: bool = False) -> DataFrame:
     """Rows that are not marked as deleted."""
     return catalog if include_deleted else catalog.where(F.col("deleted").isNull())
@@ -113,10 +118,11 @@ def phylum_priority(superkingdom: Column, kingdom: Column, phylum: Column, first
 
 def first_of_content(rows: DataFrame, key: str, content: str) -> DataFrame:
     """rows with their content's hash and whether they are its first row (least key). The
-    least key is a pre-aggregated minimum, so many copies of one text meet in no task."""
-    hashed = rows.withColumn("sha256", F.sha2(F.col(content), 256))
+    least key is a pre-aggregated minimum, so many copies of one text meet in no task. A null
+    content is like an empty one; neither is content, so no row of it is a first one."""
+    hashed = rows.withColumn("sha256", F.sha2(F.coalesce(F.col(content).cast("string"), F.lit("")), 256))
     first = hashed.groupBy("sha256").agg(F.min(key).alias("_first"))
-    return hashed.join(first.withColumn("sha256", F.concat("sha256", F.lit(""))), "sha256").withColumn("is_first", F.col(key) == F.col("_first")).drop("_first")
+    return hashed.join(first.withColumn("sha256", F.concat("sha256", F.lit(""))), "sha256").withColumn("is_first", (F.col(key) == F.col("_first")) & (F.col("sha256") != EMPTY)).drop("_first")
 
 
 def upsert(catalog: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -89,6 +89,7 @@ def report(samples: DataFrame, names: list[str], level: str, low: float = 0.0, a
     pct = F.col("pct_matched") * F.col("n_found") / F.col("n_total")
     value = F.round(F.col("pct_matched") / 100 * F.col("n_found")) if absolute else pct
     rows = samples.where(F.startswith("grp", F.lit(level)) & (pct >= low)).select("sample", "grp", value.alias("v"))
+    rows = rows.where("v > 0") if absolute else rows  # groups that round to no read are left out
     whole = F.col("n_total").cast("double") if absolute else F.lit(100.0)
     totals = samples.groupBy("sample").agg(F.first("n_total").alias("n_total")).select("sample", whole.alias("whole"))
     known = rows.groupBy("sample").agg(F.sum("v").alias("k"))
@@ -190,3 +191,82 @@ def traditional(samples: DataFrame, names: list[str], cutoff: float = 0.001, cle
     level = reduce(lambda acc, d: F.when(F.size("p") == d[0], d[1]).otherwise(acc), DEPTHS.items(), F.lit(None).cast("string"))
     out = both.where(~F.endswith("t", F.lit("|"))).select(level.alias("level"), name.alias("taxonomy"), *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
     return out.where("level = 'Species'") if clean else out.where("level is not null")
+
+
+# Ranks of a taxonomy from the top, and how many of the last ones a group's
+# level is too coarse for.
+RANKS = ("superkingdom", "kingdom", "phylum", "class", "order", "family", "genus", "species", "subspecies")
+TOO_FINE = {"~": 3, "u": 2, "s": 1}
+
+
+def taxonomy(banded: DataFrame, addresses: DataFrame, labels: DataFrame, names: DataFrame, ranks: tuple[str, ...] = RANKS, share: float = 0.1) -> DataFrame:
+    """labels (tax_id, a column for each rank), names (tax_id, organism_name, accession):
+    (grp, weight, taxonomy, refs), one row for each group that rollup has.
+
+    At each rank the members of each reference's p group vote with the reference's weight
+    in the group: the first label, and in brackets those with `share` of its votes, by falling
+    votes, ties by name. A null label is `-` and votes. Ranks stand joined by bars from the
+    top down to what the group's level can tell; a p group ends with the name and accession
+    of its heaviest reference."""
+    groups = rollup(banded, addresses)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(F.col(f"`{r}`").cast("string"), F.lit("-")).alias("label")) for i, r in enumerate(ranks)])
+    members = addresses.select("tax_id", "p").join(labels, "tax_id").select("p", F.explode(cells).alias("x")).groupBy("p", "x.i", "x.label").agg(F.count("*").alias("n"))
+    rows = F.array(*[F.struct(F.concat(F.lit(name), F.col(level).cast("string")).alias("grp"), F.col(f"b{i}").alias("weight")) for i, (name, level, _) in enumerate(BANDS)])
+    flat = banded.join(addresses, "tax_id").select("p", F.explode(rows).alias("x")).select("p", "x.*").where("weight > 0").groupBy("p", "grp").agg(F.sum("weight").alias("weight"))
+    # Rounded, so that the order of additions decides no tie.
+    votes = flat.join(members, "p").groupBy("grp", "i", "label").agg(F.round(F.sum(F.col("weight") * F.col("n")), 7).alias("v"))
+    top = votes.groupBy("grp", "i").agg(F.max("v").alias("top"))
+    kept = votes.join(top, ["grp", "i"]).where(F.col("v") >= share * F.col("top"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("o"), "label"))), lambda x: x["label"])
+    one = F.when(F.size("ls") > 1, F.concat(F.col("ls")[0], F.lit(" ("), F.array_join(F.slice("ls", F.lit(2), F.size("ls")), "/"), F.lit(")"))).otherwise(F.col("ls")[0])
+    told = kept.groupBy("grp", "i").agg(listed.alias("ls")).select("grp", "i", one.alias("t"))
+    path = told.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]).alias("path"))
+    level = F.substring("grp", 1, 1)
+    cut = reduce(lambda acc, x: F.when(level == x[0], x[1]).otherwise(acc), TOO_FINE.items(), F.lit(0))
+    first = names.select(F.col("tax_id").alias("_first"), F.concat_ws(": ", F.coalesce("organism_name", F.lit("-")), F.coalesce("accession", F.lit("-"))).alias("_name"))
+    named = groups.withColumn("_first", F.col("refs")[0]).join(path, "grp", "left").join(first, "_first", "left")
+    whole = F.slice(F.coalesce("path", F.array().cast("array<string>")), F.lit(1), F.greatest(F.size("path") - cut, F.lit(0)))
+    whole = F.when(level == "p", F.concat(whole, F.array(F.coalesce("_name", F.lit("-"))))).otherwise(whole)
+    return named.select("grp", "weight", F.array_join(whole, "|").alias("taxonomy"), "refs")
+
+
+def full_profile(assigned: DataFrame, addresses: DataFrame, labels: DataFrame, names: DataFrame, n_reads: int, min_freq: float = 0.0001, ranks: tuple[str, ...] = RANKS) -> DataFrame:
+    """profile() with taxonomies of all ranks: (grp, pct_total, pct_matched, taxon, refs)."""
+    matched = assigned.agg(F.count_distinct("read_id").alias("matched"))
+    groups = taxonomy(bands(assigned), addresses, labels, names, ranks).where(F.col("weight") / n_reads >= min_freq)
+    refs = F.array_join(F.transform("refs", lambda x: x.cast("string")), ",")
+    return groups.join(F.broadcast(matched), how="inner", on=F.lit(True)).select("grp", (100 * F.col("weight") / n_reads).alias("pct_total"), (100 * F.col("weight") / F.col("matched")).alias("pct_matched"), F.col("taxonomy").alias("taxon"), refs.alias("refs"))
+
+
+DARK = "Dark Matter"
+
+
+def full_report(samples: DataFrame, names: list[str], levels: list[str], low: float = 0.0, absolute: bool = False, label: Column | None = None, labelled_only: bool = False) -> DataFrame:
+    """samples (sample, grp, pct_matched, taxon, n_found, n_total): grp, label, a column for
+    each name, species, taxon and total, of groups of any of the levels.
+
+    Values are percents of a sample's reads, or with `absolute` its reads, of which groups
+    that round to none are left out. `Unknown` has what the groups of the first level leave
+    over. A group's taxon is that of the first sample, by the order of names, that has it;
+    species is its eighth part, or `-`. label: an expression over `taxon`, which then has no
+    last bracket; without one all are `non`. labelled_only: groups labelled `non` go."""
+    pct = F.col("pct_matched") * F.col("n_found") / F.col("n_total")
+    value = F.round(F.col("pct_matched") / 100 * F.col("n_found")) if absolute else pct
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("sample"))
+    here = samples.where(F.col("sample").isin(names))
+    wanted = reduce(lambda a, x: a | F.startswith("grp", F.lit(x)), levels, F.lit(False))
+    rows = here.where(wanted & (pct >= low)).select("sample", "grp", "taxon", place.alias("_place"), value.alias("v"))
+    rows = rows.where("v > 0") if absolute else rows
+    whole = F.col("n_total").cast("double") if absolute else F.lit(100.0)
+    totals = here.groupBy("sample").agg(F.first("n_total").alias("n_total")).select("sample", whole.alias("whole"))
+    known = rows.where(F.startswith("grp", F.lit(levels[0]))).groupBy("sample").agg(F.sum("v").alias("k"))
+    dark = totals.join(known, "sample", "left").select("sample", F.lit("Unknown").alias("grp"), F.lit(DARK).alias("taxon"), F.lit(0).alias("_place"), (F.col("whole") - F.coalesce("k", F.lit(0.0))).alias("v"))
+    both = rows.unionByName(dark)
+    cells = [F.coalesce(F.sum(F.when(F.col("sample") == n, F.col("v"))), F.lit(0.0)).alias(n) for n in names]
+    total = F.sum(F.when(F.col("grp") == "Unknown", 0.0).otherwise(F.col("v"))).alias("total")
+    table = both.groupBy("grp").agg(*cells, F.min(F.struct("_place", "taxon"))["taxon"].alias("taxon"), total)
+    bare = F.regexp_replace("taxon", r"\([^(]*$", "")
+    named = table.withColumn("_taxon", F.col("taxon")).withColumn("taxon", bare).withColumn("label", F.lit("non") if label is None else label)
+    species = F.when(F.col("_taxon") == DARK, "-").otherwise(F.coalesce(F.get(F.split("_taxon", r"\|"), F.lit(7)), F.lit("-")))
+    out = named.select("grp", "label", *[F.col(f"`{n}`") for n in names], species.alias("species"), F.col("_taxon").alias("taxon"), "total")
+    return out.where("label <> 'non'") if labelled_only else out

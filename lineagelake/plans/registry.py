@@ -76,10 +76,9 @@ def ingest_eligible(spark, sf_dir):
     return cat.eligible(listed).select("id", cat.url_path(F.col("ftp_path")).alias("url_path"), cat.version(F.col("accession")).alias("version"))
 
 
-@query("""WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents) SELECT doc_id, sha256, doc_id = min(doc_id) OVER (PARTITION BY sha256) AS is_first FROM h""")
+@query("""WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents) SELECT doc_id, sha256, doc_id = min(doc_id) OVER (PARTITION BY sha256) AND sha256 <> sha256('') AS is_first FROM h""")
 def content_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return cat.first_of_content(docs, "doc_id", "text").select("doc_id", "sha256", "is_first")
+    return cat.first_of_content(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "sha256", "is_first")
 
 
 @query("""SELECT p_partkey AS id, CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'STANDARD' THEN 1 ELSE 2 END AS category_rank,
@@ -479,9 +478,9 @@ def sample_sketch(spark, sf_dir):
 
 
 def queries() -> dict:
-    from lineagelake.plans import extended, indexed  # these register their own
+    from lineagelake.plans import extended, indexed, taxa  # these register their own
 
-    assert extended and indexed
+    assert extended and indexed and taxa
     return dict(QUERIES)
 
 
