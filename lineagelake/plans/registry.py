@@ -478,9 +478,9 @@ def sample_sketch(spark, sf_dir):
 
 
 def queries() -> dict:
-    from lineagelake.plans import extended, indexed, taxa  # these register their own
+    from lineagelake.plans import extended, indexed, sqltext, taxa  # these register their own
 
-    assert extended and indexed and taxa
+    assert extended and indexed and sqltext and taxa
     return dict(QUERIES)
 
 
