@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _LOWEST = -230.2585  # ln 1e-100
 
@@ -42,8 +42,37 @@ def band_ratio(n: float, mean: float) -> float:
     return 0.0
 
 
-@F.pandas_udf(T.DoubleType())
-def band_ratio_udf(n: pd.Series, mean: pd.Series) -> pd.Series:
-    keys, back = np.unique(np.stack([n.to_numpy(float), mean.to_numpy(float)]), axis=1, return_inverse=True)
-    values = np.array([band_ratio(a, b) for a, b in keys.T])
-    return pd.Series(values[back.reshape(-1)] if len(n) else values)
+def log_gamma(x: Column) -> Column:
+    """ln Gamma(x) for x >= 1 by Stirling's series from x + 8 on; off by less than 1e-12 of
+    its value or 1e-12, whichever is more."""
+    shift = reduce(lambda acc, i: acc * (x + i), range(1, 8), x)
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9)
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(shift)
+
+
+# Nodes and weights of Gauss's rule on [-1/2, 1/2].
+_NODES, _WEIGHTS = (v / 2 for v in np.polynomial.legendre.leggauss(8))
+
+
+def log_interval(n: Column, mean: Column) -> Column:
+    """ln of the normal probability of [n - 0.5, n + 0.5], mean and variance `mean`, not below
+    ln 1e-100. By Gauss's rule, whose relative error is below 1e-10 for means of 20 on and
+    depths within 21 deviations."""
+    middle = -((n - mean) ** 2) / (2 * mean)
+    # exp of what a node differs from the middle by.
+    parts = [float(w) * F.exp(-(2 * (n - mean) * float(t) + float(t) ** 2) / (2 * mean)) for t, w in zip(_NODES, _WEIGHTS)]
+    return F.greatest(F.lit(_LOWEST), middle + F.ln(reduce(lambda a, b: a + b, parts)) - 0.5 * F.ln(2 * math.pi * mean))
+
+
+def band_ratio_of(n: Column, mean: Column) -> Column:
+    """band_ratio as an expression of columns: it stays in generated code. n: whole numbers."""
+    n = n.cast("double")
+    low, high = mean / math.sqrt(2), mean * math.sqrt(2)
+    top, bottom = F.ceil(high).cast("double"), F.floor(low).cast("double")
+    above = n > top
+    m, edge, limit = F.when(above, high).otherwise(low), F.when(above, top).otherwise(bottom), F.when(above, 20.0).otherwise(170.0)
+    log_p = lambda x: F.when(m <= limit, x * F.ln(m) - m - log_gamma(x + 1)).otherwise(log_interval(x, m))
+    far = above & (n - top >= 20 * F.sqrt(top))
+    outside = F.when(far, _LOWEST).otherwise(F.least(F.lit(0.0), log_p(n) - log_p(edge)))
+    return F.when(above | (n < bottom), outside).otherwise(0.0)

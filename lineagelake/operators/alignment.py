@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineagelake.config import FRAGMENTS, PRIORS
-from lineagelake.functions.poisson import band_ratio_udf
+from lineagelake.functions.poisson import band_ratio_of
 from lineagelake.session import checkpoint
 
 PAIRS = (("u", "p"), ("s", "n"), ("r", "m"))
@@ -81,7 +81,9 @@ def conservation(scored: DataFrame, addresses: DataFrame, priors=PRIORS) -> Data
     weighted by the best row of the cluster's lowest sub-cluster, and compared under two
     binomial models. The first pair in which every T is 1 ends the series."""
     placed = checkpoint(scored.select("read_id", "tax_id", "rel_sim").join(addresses, "tax_id"))
-    totals = [placed.groupBy(up).agg(F.count_distinct(down).alias("t")) for up, down in PAIRS]
+    # Distinct addresses first: few rows, and no count of all hits by a hot cluster.
+    there = checkpoint(placed.select(*{x for pair in PAIRS for x in pair}).distinct())
+    totals = [there.select(up, down).distinct().groupBy(up).agg(F.count("*").alias("t")) for up, down in PAIRS]
     # One job tells where the series ends.
     most = [r.m for r in reduce(DataFrame.unionByName, [t.agg(F.max("t").alias("m")).select(F.lit(i).alias("i"), "m") for i, t in enumerate(totals)]).orderBy("i").collect()]
     used = next((i for i, m in enumerate(most) if (m or 1) == 1), len(PAIRS))
@@ -121,7 +123,7 @@ def depth_weights(hits: DataFrame, seqinfo: DataFrame, fragments=FRAGMENTS, shor
     log_w = F.lit(0.0)
     for i, fragment in enumerate(fragments):
         bins, mean = bin_depths(hits, seqinfo, fragment)
-        ratio = bins.join(seqinfo.select("seq_id", "tax_id"), "seq_id").join(mean, "tax_id").select("seq_id", F.col("bin").alias(f"_b{i}"), band_ratio_udf(F.col("n").cast("double"), F.col("mean")).alias(f"_r{i}"))
+        ratio = bins.join(seqinfo.select("seq_id", "tax_id"), "seq_id").join(mean, "tax_id").select("seq_id", F.col("bin").alias(f"_b{i}"), band_ratio_of(F.col("n"), F.col("mean")).alias(f"_r{i}"))
         found = found.withColumn(f"_b{i}", F.floor(F.col("site") / fragment).cast("long")).join(ratio, ["seq_id", f"_b{i}"])
         log_w = log_w + F.col(f"_r{i}")
     weight = F.when(F.col("seq_len") < shortest, 0.0).otherwise(F.exp(log_w / len(fragments)))

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineagelake.session import checkpoint
+from lineagelake.operators.catalog import numbered
+from lineagelake.session import checkpoint, stored
 
 UNASSIGNED = -1
 
@@ -23,34 +24,43 @@ def candidates(scored: DataFrame) -> DataFrame:
     return scored.where("core_w >= 0.01 and depth_w >= 0.01 and weight >= 0.001")
 
 
-def cover(cands: DataFrame, n_reads: int, min_freq: float, min_num: float, cap: int = 5000, keep: int = 16) -> tuple[list[tuple[int, float]], float]:
+def cover(cands: DataFrame, n_reads: int, min_freq: float, min_num: float, cap: int = 5000, most: int = 64) -> tuple[list[tuple[int, float]], float]:
     """([(tax_id, support)] in order of picking, read limit). In turn the reference with the
     most support (sum of rel_sim * weight) is picked and takes away all reads that it hits
     with half the similarity of their best; it ends where 2.5 times the support is below
     the limit. Ties: the smaller id.
 
-    Hits are gathered by read once (as many as the aligner reports); a round is one pass
-    over what is left with a few picked ids as literals and a pre-aggregated sum: no shuffle
-    of hits. Each `keep` rounds the explained reads and picked hits are dropped for good, so
-    neither the literals nor the plan grow with the number of picks."""
+    Several references are picked in one round: by falling support, up to `most`, as long as
+    each shares no read with those picked before it in the round. Supports never rise, so
+    none behind can come before it, and its own has not changed: the order and the supports
+    are those of one pick a round. Which of the first ones share reads is found in one pass,
+    with at most as many rows as pairs of them.
+
+    Hits are gathered by read once; what a round explains is dropped for good."""
     hit = F.struct("tax_id", (F.col("rel_sim") >= 0.5).alias("strong"), (F.col("rel_sim") * F.col("weight")).alias("s"))
-    reads = checkpoint(cands.groupBy("read_id").agg(F.collect_list(hit).alias("hits")))
+    reads = stored(cands.groupBy("read_id").agg(F.sort_array(F.collect_list(hit)).alias("hits")))
     limit = max(n_reads * min_freq, min_num)
     picked: list[tuple[int, float]] = []
-    recent: list[int] = []
     while True:
-        ids = F.array(*[F.lit(t) for t in recent]).cast("array<long>")
-        gone = lambda h: F.array_contains(ids, h["tax_id"])  # noqa: E731, B023
-        left = reads.where(~F.exists("hits", lambda h: h["strong"] & gone(h))).select("read_id", F.filter("hits", lambda h: ~gone(h)).alias("hits")) if recent else reads
-        if len(recent) == keep:
-            left = reads = checkpoint(left.where(F.size("hits") > 0))
-            recent = []
-        best = left.select(F.explode("hits").alias("h")).groupBy("h.tax_id").agg(F.sum("h.s").alias("s"))
-        top = best.orderBy(F.desc("s"), "tax_id").limit(1).collect()
-        if not top or top[0].s * 2.5 < limit:
+        sums = reads.select(F.explode("hits").alias("h")).groupBy("h.tax_id").agg(F.sum("h.s").alias("s"))
+        # Rounded, so that the order of additions decides no tie.
+        first = [(r.tax_id, r.s) for r in sums.select("tax_id", F.round("s", 9).alias("s")).orderBy(F.desc("s"), "tax_id").limit(most).collect()]
+        first = [p for p in first if p[1] * 2.5 >= limit]
+        if not first:
             break
-        picked.append((top[0].tax_id, top[0].s))
-        recent.append(top[0].tax_id)
+        ids = F.array(*[F.lit(t) for t, _ in first]).cast("array<long>")
+        among = F.array_distinct(F.transform(F.filter("hits", lambda h: F.array_contains(ids, h["tax_id"])), lambda h: h["tax_id"]))
+        met = reads.select(among.alias("m")).where(F.size("m") > 1).select("m", F.explode("m").alias("a")).select("a", F.explode("m").alias("b")).where("a < b").distinct()
+        shares = {(r.a, r.b) for r in met.collect()}  # at most most^2 / 2
+        now: list[tuple[int, float]] = []
+        for t, s in first:
+            if any((min(t, u), max(t, u)) in shares for u, _ in now):
+                break
+            now.append((t, s))
+        picked += now
+        gone = F.array(*[F.lit(t) for t, _ in now]).cast("array<long>")
+        left = reads.where(~F.exists("hits", lambda h: h["strong"] & F.array_contains(gone, h["tax_id"])))  # noqa: B023
+        reads = stored(left.select("read_id", F.filter("hits", lambda h: ~F.array_contains(gone, h["tax_id"])).alias("hits")).where(F.size("hits") > 0))  # noqa: B023
     if len(picked) > cap:
         limit = max(n_reads * min_freq * 5, min_num * 2)
         picked = [p for p in picked if p[1] >= limit]
@@ -66,6 +76,71 @@ def bootstrap(rows: DataFrame, key: str, seed: int = 1) -> DataFrame:
     return rows.withColumn("_n", times).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
 
+def draws(n: int, replicates: int, spark, seed: int = 1) -> DataFrame:
+    """(replicate, place, times): for each replicate n draws with replacement from n places, a
+    draw being a hash of seed, replicate and its number; places that are not drawn have no row."""
+    rows = spark.range(n).select("id", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "replicate", "id")), 1, 15), 16, 10).cast("long")
+    return rows.select("replicate", F.pmod(h, F.lit(max(n, 1))).alias("place")).groupBy("replicate", "place").agg(F.count("*").alias("times"))
+
+
+def resampled(q: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
+    """q (read_id, tax_id, q, w): (read_id, w, hits, times), a row a read, times[b - 1] how
+    often replicate b drew it; exactly as many draws as reads."""
+    rows = q.groupBy("read_id").agg(F.first("w").cast("double").alias("w"), F.sort_array(F.collect_list(F.struct("tax_id", "q"))).alias("hits"))
+    rows = stored(numbered(rows, "read_id", name="place"))
+    drawn = draws(rows.count(), replicates, q.sparkSession, seed)
+    of_read = drawn.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "times"))).alias("m"))
+    times = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0)).cast("double"))
+    return rows.join(of_read, "place", "left").select("read_id", "w", "hits", times.alias("times"))
+
+
+def replicated(q: DataFrame, replicates: int, seed: int = 1, iterations: int = 200, tolerance: float = 1e-9, level: float = 0.95) -> dict[int, tuple[float, float, float]]:
+    """tax_id: (share, low, high), the share of all reads and the interval that holds the
+    middle `level` of its shares in the replicates, between order statistics linearly.
+
+    All replicates go through one pass an iteration, as a matrix of shares: replicates times
+    references numbers, which is what the driver holds and a task returns."""
+    rows = checkpoint(resampled(q, replicates, seed))
+    ids = np.array(sorted(r[0] for r in q.select("tax_id").distinct().collect()), np.int64)
+    if not len(ids):
+        return {}
+    x = np.full((replicates + 1, len(ids)), 1.0 / len(ids))
+    for _ in range(iterations):
+        new = rows.select("w", F.col("hits.tax_id").alias("t"), F.col("hits.q").alias("q"), "times").mapInArrow(_expected_all(ids, x), "tax_id long, b int, s double").groupBy("b", "tax_id").agg(F.sum("s").alias("s"))
+        last, x = x, np.zeros_like(x)
+        for r in new.collect():
+            x[r.b, np.searchsorted(ids, r.tax_id)] = r.s
+        x /= np.maximum(x.sum(1, keepdims=True), 1e-300)
+        if np.abs(x - last).max() < tolerance:
+            break
+    low, high = np.quantile(x[1:], [(1 - level) / 2, (1 + level) / 2], axis=0) if replicates else (x[0], x[0])
+    return {int(t): (float(a), float(b), float(c)) for t, a, b, c in zip(ids, x[0], low, high)}
+
+
+def _expected_all(ids: np.ndarray, x: np.ndarray):
+    """Like _expected for all rows of x at once; row 0 takes each read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros_like(x)
+        for b in batches:
+            if not len(b):
+                continue
+            size = np.diff(b.column(1).offsets.to_numpy())
+            at = np.searchsorted(ids, b.column(1).flatten().to_numpy())
+            q, read, w = b.column(2).flatten().to_numpy(), np.repeat(np.arange(len(b)), size), b.column(0).to_numpy()
+            times = np.concatenate([np.ones((len(b), 1)), b.column(3).flatten().to_numpy().reshape(len(b), -1)], axis=1)
+            for k in range(len(x)):
+                v = q * x[k, at]
+                d = np.bincount(read, v, len(b))
+                share = np.divide(w * times[:, k], d, out=np.zeros(len(b)), where=d > 0)
+                sums[k] += np.bincount(at, v * share[read], len(ids))
+        k, t = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[t]), pa.array(k.astype(np.int32)), pa.array(sums[k, t])], ["tax_id", "b", "s"])
+
+    return run
+
+
 def qmatrix(cands: DataFrame, picked: DataFrame) -> DataFrame:
     """(read_id, tax_id, q, w): the largest likelihood of each read and picked reference, and
     the weight of the read's best hit."""

@@ -40,7 +40,7 @@ def rollup(banded: DataFrame, addresses: DataFrame) -> DataFrame:
     placed = banded.join(addresses, "tax_id")
     rows = F.array(*[F.struct(F.concat(F.lit(name), F.col(level).cast("string")).alias("grp"), F.col(f"b{i}").alias("weight")) for i, (name, level, _) in enumerate(BANDS)])
     flat = placed.select("tax_id", "b0", F.explode(rows).alias("x")).select("tax_id", "b0", "x.*").where("weight > 0")
-    refs = F.array_sort(F.collect_list(F.struct((-F.col("b0")).alias("o"), "tax_id")))
+    refs = F.array_sort(F.collect_list(F.struct((-F.round("b0", 7)).alias("o"), "tax_id")))
     return flat.groupBy("grp").agg(F.sum("weight").alias("weight"), F.transform(refs, lambda x: x["tax_id"]).alias("refs"))
 
 
@@ -51,7 +51,7 @@ def taxon_votes(banded: DataFrame, addresses: DataFrame, labels: DataFrame, shar
     placed = banded.join(addresses, "tax_id")
     rows = F.array(*[F.struct(F.concat(F.lit(name), F.col(level).cast("string")).alias("grp"), F.col(f"b{i}").alias("weight")) for i, (name, level, _) in enumerate(BANDS)])
     flat = placed.select("p", F.explode(rows).alias("x")).select("p", "x.*").where("weight > 0").groupBy("p", "grp").agg(F.sum("weight").alias("weight"))
-    votes = flat.join(members, "p").groupBy("grp", "label").agg(F.sum(F.col("weight") * F.col("n")).alias("v"))
+    votes = flat.join(members, "p").groupBy("grp", "label").agg(F.round(F.sum(F.col("weight") * F.col("n")), 7).alias("v"))
     top = votes.groupBy("grp").agg(F.max("v").alias("top"))
     kept = votes.join(top, "grp").where(F.col("v") >= share * F.col("top"))
     names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("o"), "label"))), lambda x: x["label"])

@@ -233,17 +233,45 @@ def _weighed(spark, sf_dir):
     return alignment.weigh(mapping.hits(spark, sf_dir), mapping.seqinfo(spark, sf_dir), mapping.addresses(spark, sf_dir))
 
 
-@query()
+def _weight_sql() -> str:
+    """CTE weighed: near hits with depth_w, core_w and weight. Means times sqrt 2 are below 20
+    in the given tables, where the model is the exact Poisson mass; past it SQL has null."""
+    parts = [f"{_core_sql()}, near AS (SELECT * FROM scored WHERE rel_sim >= {(0.05 / 0.95) ** 5!r}), {SEQINFO}, core AS (SELECT read_id, 1 - (1 - q0.q) * (1 - q1.q) AS core_w FROM q0 JOIN q1 USING (read_id))"]
+    for i, fragment in enumerate((487, 2000)):
+        p = lambda x, m: f"({x} * ln({m}) - {m} - lgamma({x} + 1.0))"
+        low, high = f"(mean / {math.sqrt(2)!r})", f"(mean * {math.sqrt(2)!r})"
+        parts.append(f"""bin{i} AS (SELECT seq_id, tax_id, CAST(floor(site / {fragment}) AS BIGINT) AS b, count(*) AS n FROM near GROUP BY ALL),
+room{i} AS (SELECT tax_id, sum(1 + seq_len // {fragment}) + count(*) - 1 AS room FROM seqinfo WHERE tax_id IN (SELECT tax_id FROM near) GROUP BY 1),
+mean{i} AS (SELECT tax_id, CASE WHEN max(n) <= 1 THEN 0.5 ELSE CAST(sum(n) AS DOUBLE) / any_value(room) END AS mean FROM bin{i} JOIN room{i} USING (tax_id) GROUP BY 1),
+ratio{i} AS (SELECT seq_id, b, CASE WHEN n > ceil({high}) THEN CASE WHEN n - ceil({high}) >= 20 * sqrt(ceil({high})) THEN -230.2585 WHEN {high} <= 20 THEN least(0.0, {p('n', high)} - {p(f'ceil({high})', high)}) END
+WHEN n < floor({low}) THEN CASE WHEN {low} <= 170 THEN least(0.0, {p('n', low)} - {p(f'floor({low})', low)}) END ELSE 0.0 END AS r{i} FROM bin{i} JOIN mean{i} USING (tax_id))""")
+    return ", ".join(parts) + f""", dw AS (SELECT read_id, sum(CASE WHEN seq_len < 500 THEN 0 ELSE exp((r0 + r1) / 2) END * rel_sim) / sum(rel_sim) AS depth_w FROM near n JOIN seqinfo USING (seq_id)
+JOIN ratio0 a ON a.seq_id = n.seq_id AND a.b = CAST(floor(site / 487) AS BIGINT) JOIN ratio1 b ON b.seq_id = n.seq_id AND b.b = CAST(floor(site / 2000) AS BIGINT) GROUP BY 1),
+weighed AS MATERIALIZED (SELECT n.*, depth_w, core_w, depth_w * core_w AS weight FROM near n JOIN core USING (read_id) JOIN dw USING (read_id) WHERE depth_w * core_w > 0 AND lik > 0)"""
+
+
+@query(f"WITH {_weight_sql()} SELECT read_id, tax_id, round(rel_sim, 6) AS rel_sim, round(depth_w, 6) AS depth_w, round(core_w, 6) AS core_w, round(weight, 6) AS weight FROM weighed")
 def scored_hits(spark, sf_dir):
-    """All weights; the normal branch of the depth model has no SQL, see the tests."""
     return _weighed(spark, sf_dir).select("read_id", "tax_id", _r("rel_sim"), _r("depth_w"), _r("core_w"), _r("weight"))
 
 
-@query()
+PICKS = 8  # that SQL unrolls; the given tables have two
+
+
+def _cover_sql() -> str:
+    parts = [f"{_weight_sql()}, lim AS MATERIALIZED (SELECT count(*) AS n_reads, greatest(count(*) * 0.0001, 12.0) AS lim FROM orders), c0 AS MATERIALIZED (SELECT read_id, tax_id, lik, rel_sim, weight, rel_sim * weight AS s FROM weighed WHERE core_w >= 0.01 AND depth_w >= 0.01 AND weight >= 0.001)"]
+    for i in range(PICKS):
+        parts.append(f"""p{i} AS MATERIALIZED (SELECT tax_id, s FROM (SELECT tax_id, round(sum(s), 9) AS s FROM c{i} GROUP BY 1), lim WHERE s * 2.5 >= lim ORDER BY s DESC, tax_id LIMIT 1),
+c{i + 1} AS MATERIALIZED (SELECT * FROM c{i} WHERE tax_id <> (SELECT tax_id FROM p{i}) AND read_id NOT IN (SELECT read_id FROM c{i} WHERE rel_sim >= 0.5 AND tax_id = (SELECT tax_id FROM p{i})))""")
+    picks = " UNION ALL ".join(f"SELECT {i} AS place, tax_id, s FROM p{i}" for i in range(PICKS))
+    return f"{', '.join(parts)}, picks AS MATERIALIZED ({picks})"
+
+
+@query(f"WITH {_cover_sql()} SELECT CAST(place AS INT) AS place, tax_id, round(s, 6) AS support, CAST(lim AS DOUBLE) AS read_limit FROM picks, lim")
 def greedy_cover(spark, sf_dir):
     cands = mixture.candidates(_weighed(spark, sf_dir))
     picked, limit = mixture.cover(cands, table(spark, sf_dir, "orders").count(), 0.0001, 12.0)
-    return spark.createDataFrame([(i, t, float(s), float(limit)) for i, (t, s) in enumerate(picked)], "place int, tax_id long, support double, read_limit double")
+    return spark.createDataFrame([(i, t, round(float(s), 6), float(limit)) for i, (t, s) in enumerate(picked)], "place int, tax_id long, support double, read_limit double")
 
 
 def _by_nation(rows: DataFrame, spark, sf_dir) -> DataFrame:
@@ -252,14 +280,19 @@ def _by_nation(rows: DataFrame, spark, sf_dir) -> DataFrame:
 
 
 NATION = f"{NEAR}, n0 AS (SELECT read_id, CAST(s_nationkey AS BIGINT) AS tax_id, mut, nom, lik, rel_sim FROM near JOIN supplier ON s_suppkey = tax_id)"
-ROUNDS = 6
+ROUNDS = 40
+
+
+def _em(q: str, rounds: int = ROUNDS) -> str:
+    """CTEs of `rounds` sweeps over q (read_id, tax_id, q, w), from equal shares; at last shares (tax_id, x)."""
+    parts = [f"tot AS MATERIALIZED (SELECT sum(w) AS total FROM (SELECT read_id, any_value(w) AS w FROM {q} GROUP BY 1))", f"x0 AS MATERIALIZED (SELECT tax_id, 1.0 / count(*) OVER () AS x FROM (SELECT DISTINCT tax_id FROM {q}))"]
+    for i in range(rounds):
+        parts.append(f"d{i} AS MATERIALIZED (SELECT read_id, sum(q * x) AS d FROM {q} JOIN x{i} USING (tax_id) GROUP BY 1), x{i + 1} AS MATERIALIZED (SELECT a.tax_id, sum(w * q * x / d) / any_value(total) AS x FROM {q} a JOIN x{i} USING (tax_id) JOIN d{i} USING (read_id), tot GROUP BY 1)")
+    return f"{', '.join(parts)}, shares AS MATERIALIZED (SELECT tax_id, x FROM x{rounds})"
 
 
 def _em_sql() -> str:
-    parts = ["q AS (SELECT read_id, tax_id, max(lik) AS q FROM n0 GROUP BY ALL)", "tot AS (SELECT count(DISTINCT read_id) AS w FROM q)", "x0 AS (SELECT tax_id, 1.0 / count(*) OVER () AS x FROM (SELECT DISTINCT tax_id FROM q))"]
-    for i in range(ROUNDS):
-        parts.append(f"d{i} AS (SELECT read_id, sum(q * x) AS d FROM q JOIN x{i} USING (tax_id) GROUP BY 1), x{i + 1} AS (SELECT q.tax_id, sum(q * x / d) / any_value(w) AS x FROM q JOIN x{i} USING (tax_id) JOIN d{i} USING (read_id), tot GROUP BY 1)")
-    return f"{NATION}, {', '.join(parts)}, shares AS (SELECT tax_id, x FROM x{ROUNDS})"
+    return f"{NATION}, qn AS MATERIALIZED (SELECT read_id, tax_id, max(lik) AS q, 1.0 AS w FROM n0 GROUP BY ALL), {_em('qn')}"
 
 
 def _nation_hits(spark, sf_dir):
@@ -332,7 +365,28 @@ def specific_reads(spark, sf_dir):
     return mixture.specific_reads(a, [1, 2, 3], 0.3).select("read_id", "first_tax", _r("share"))
 
 
-@query()
+SWEEPS = 15  # of the flagship's mixture
+
+
+def _abundance_sql() -> str:
+    bands = ", ".join(f"sum(w{f' * (d <= {most})::INT' if most else ''}) AS b{i}" for i, (_, _, most) in enumerate(profile.BANDS))
+    return f"""{_cover_sql()}, kept AS MATERIALIZED (SELECT * FROM c0 WHERE tax_id IN (SELECT tax_id FROM picks)), bw AS (SELECT read_id, arg_max(weight, {{'a': rel_sim, 'b': weight}}) AS w FROM kept GROUP BY 1),
+qm AS MATERIALIZED (SELECT read_id, tax_id, max(lik) AS q, any_value(w) AS w FROM kept JOIN bw USING (read_id) GROUP BY ALL), {_em('qm', SWEEPS)}, mt AS (SELECT count(DISTINCT read_id) AS matched FROM weighed),
+k AS (SELECT tax_id, x FROM shares, lim, mt WHERE x * matched >= lim), g0 AS (SELECT n.read_id, mut, nom, depth_w, core_w, weight, CASE WHEN x IS NULL THEN -1 ELSE n.tax_id END AS tax_id, lik * coalesce(x, lim / n_reads) AS v FROM weighed n LEFT JOIN k USING (tax_id), lim),
+g1 AS (SELECT * REPLACE ((v + 1e-301) / (max(v) OVER (PARTITION BY read_id) + 1e-300) AS v) FROM g0), g2 AS MATERIALIZED (SELECT *, v / sum(v) OVER (PARTITION BY read_id) AS prop FROM g1 WHERE v >= 0.1),
+ok AS (SELECT tax_id FROM g2, lim GROUP BY tax_id, lim HAVING sum(prop) >= lim), g3 AS (SELECT * REPLACE (CASE WHEN tax_id IN (SELECT tax_id FROM ok) THEN tax_id ELSE -1 END AS tax_id) FROM g2),
+g4 AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY prop DESC, mut, tax_id, nom) AS rn FROM g3), g5 AS MATERIALIZED (SELECT * REPLACE (prop / sum(prop) OVER (PARTITION BY read_id) AS prop) FROM g4 WHERE tax_id <> -1 OR rn = 1),
+md AS (SELECT tax_id, 100 * sum(weight * prop * mut) / CASE WHEN sum(weight * prop * (mut + nom)) = 0 THEN 1 ELSE sum(weight * prop * (mut + nom)) END AS mean_dist FROM g5 GROUP BY 1),
+g6 AS (SELECT g.*, mean_dist, 100 * mut / (mut + nom) AS dist, coalesce(a.u, -1) AS cu FROM g5 g JOIN md USING (tax_id) LEFT JOIN addresses a USING (tax_id)), cc AS (SELECT cu, sum(prop * core_w) / sum(prop) AS c FROM g6 WHERE core_w > 0.001 GROUP BY 1),
+g7 AS (SELECT g.*, sum(core_w / coalesce(c, 1) * prop) OVER (PARTITION BY read_id) / sum(prop) OVER (PARTITION BY read_id) AS core2 FROM g6 g LEFT JOIN cc USING (cu)), m2 AS (SELECT count(DISTINCT read_id) AS matched2 FROM g7),
+banded AS MATERIALIZED (SELECT tax_id, {bands} FROM (SELECT tax_id, greatest(dist, mean_dist) AS d, depth_w * core2 * prop AS w FROM g7 WHERE tax_id <> -1) GROUP BY 1),
+flat AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(f"SELECT tax_id, p, '{name}' || {level} AS grp, b{i} AS weight, b0 FROM banded JOIN addresses USING (tax_id)" for i, (name, level, _) in enumerate(profile.BANDS))}) WHERE weight > 0),
+vt AS (SELECT grp, s_name AS label, round(sum(weight), 7) AS v FROM flat JOIN supplier ON s_suppkey = p GROUP BY ALL), v2 AS (SELECT *, max(v) OVER (PARTITION BY grp) AS top, row_number() OVER (PARTITION BY grp ORDER BY v DESC, label) AS n FROM vt),
+tx AS (SELECT grp, max(label) FILTER (WHERE n = 1) || coalesce(' (' || string_agg(label, '/' ORDER BY v DESC, label) FILTER (WHERE n > 1) || ')', '') AS taxon FROM v2 WHERE v >= 0.1 * top GROUP BY grp),
+gs AS (SELECT grp, sum(weight) AS weight, string_agg(CAST(tax_id AS VARCHAR), ',' ORDER BY round(b0, 7) DESC, tax_id) AS refs FROM flat GROUP BY 1)"""
+
+
+@query(f"WITH {_abundance_sql()} SELECT grp, round(100 * weight / n_reads, 4) AS pct_total, round(100 * weight / matched2, 4) AS pct_matched, taxon, refs FROM gs JOIN tx USING (grp), lim, m2 WHERE weight / n_reads >= 0.0001")
 def abundance_profile(spark, sf_dir):
     """Reads to profile: scores, cover, mixture, assignment, roll-up."""
     scored = checkpoint(_weighed(spark, sf_dir))
@@ -341,7 +395,7 @@ def abundance_profile(spark, sf_dir):
     cands = checkpoint(mixture.candidates(scored))
     picked, limit = mixture.cover(cands, n_reads, 0.0001, 12.0)
     chosen = spark.createDataFrame([(t,) for t, _ in picked], "tax_id long")
-    shares = mixture.mixture(mixture.qmatrix(cands, chosen), iterations=60, tolerance=1e-6)
+    shares = mixture.mixture(mixture.qmatrix(cands, chosen), iterations=SWEEPS, tolerance=0.0)
     assigned = checkpoint(mixture.assign(scored, spark.createDataFrame(list(shares.items()), "tax_id long, x double"), addresses, n_reads, limit))
     labels = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tax_id"), F.col("s_name").alias("label"))
     found = profile.profile(assigned, addresses, labels, n_reads)
@@ -398,6 +452,20 @@ def bootstrap_sample(spark, sf_dir):
     return mixture.bootstrap(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
+@query("""WITH n AS (SELECT count(*) AS n FROM orders) SELECT CAST(b AS INT) AS replicate, ('0x' || substring(md5('7:' || b || ':' || i), 1, 15))::BIGINT % n AS place, count(*) AS times FROM n, range(n) AS r(i), range(1, 6) AS s(b) GROUP BY ALL""")
+def bootstrap_draws(spark, sf_dir):
+    """Five replicates of as many draws with replacement as there are orders."""
+    return mixture.draws(table(spark, sf_dir, "orders").count(), 5, spark, seed=7)
+
+
+@query()
+def bootstrap_shares(spark, sf_dir):
+    """Shares of nations with the interval of twenty replicates."""
+    hits = _nation_hits(spark, sf_dir)
+    found = mixture.replicated(mixture.qmatrix(hits, hits.select("tax_id").distinct()), 20, iterations=ROUNDS, tolerance=1e-7)
+    return spark.createDataFrame([(t, round(x, 6), round(a, 6), round(b, 6)) for t, (x, a, b) in found.items()], "tax_id long, x double, low double, high double")
+
+
 TERMS = " + ".join(f"{f} * " + (f"lead(code, {j}) OVER w" if j else "code") for j, f in enumerate(sketch.multipliers(K)))
 (M1, F1), (M2, F2) = sketch.HALVES
 

@@ -20,7 +20,7 @@ member AS ({' UNION ALL '.join(f"SELECT a.p, {i} AS i, coalesce(l{i}, '-') AS la
 vote AS (SELECT grp, i, label, round(sum(weight * n), 7) AS v FROM (SELECT grp, p, sum(weight) AS weight FROM flat GROUP BY ALL) JOIN member USING (p) GROUP BY ALL),
 topped AS (SELECT *, max(v) OVER (PARTITION BY grp, i) AS top, row_number() OVER (PARTITION BY grp, i ORDER BY v DESC, label) AS n FROM vote),
 ranked AS (SELECT grp, i, max(label) FILTER (WHERE n = 1) || coalesce(' (' || string_agg(label, '/' ORDER BY v DESC, label) FILTER (WHERE n > 1) || ')', '') AS t FROM topped WHERE v >= 0.1 * top GROUP BY ALL),
-heavy AS (SELECT grp, arg_min(tax_id, {{'a': -b0, 'b': tax_id}}) AS first, round(sum(weight), 4) AS weight, count(*) AS n_refs FROM flat GROUP BY 1),
+heavy AS (SELECT grp, arg_min(tax_id, {{'a': -round(b0, 7), 'b': tax_id}}) AS first, round(sum(weight), 4) AS weight, count(*) AS n_refs FROM flat GROUP BY 1),
 taxa AS (SELECT h.grp, h.weight, h.n_refs, string_agg(t, '|' ORDER BY i) FILTER (WHERE i < CASE left(h.grp, 1) {_CUT} ELSE {len(LABELS)} END) || CASE WHEN left(h.grp, 1) = 'p' THEN '|' || any_value(s_name) || ': GCF_' || any_value(s_suppkey) ELSE '' END AS taxonomy
 FROM heavy h JOIN ranked r USING (grp) JOIN supplier ON s_suppkey = first GROUP BY h.grp, h.weight, h.n_refs)"""
 

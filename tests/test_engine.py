@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lineagelake.config import Settings
 from lineagelake.functions import barcode, poisson
@@ -36,6 +37,53 @@ def test_depth_band():
     assert poisson.band_ratio(100, 300) < 0 and poisson.band_ratio(213, 300) == 0
 
 
+def test_depth_band_in_columns(spark):
+    rows = [(float(n), m) for m in (0.02, 0.5, 1.0, 7.3, 10.0, 14.0, 15.0, 20.0, 90.0, 200.0, 241.0, 300.0, 5000.0) for n in sorted({0, 1, 2, 3, *(max(0, int(m * f)) for f in (0.2, 0.5, 0.7, 0.72, 1, 1.41, 1.42, 1.5, 1.7, 2, 3, 9, 40))})]
+    df = spark.createDataFrame(rows, "n double, mean double")
+    for r in df.withColumn("got", poisson.band_ratio_of(df.n, df.mean)).collect():
+        want = poisson.band_ratio(r.n, r.mean)
+        # The plain difference of error functions loses its digits towards 1e-16.
+        assert r.got == pytest.approx(want, rel=1e-8 if want > -10 else 1e-3, abs=1e-9) if want > -28 else r.got < -20, (r, want)
+    plan = df.select(poisson.band_ratio_of(df.n, df.mean))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    got = spark.createDataFrame([(float(x),) for x in (1, 1.5, 2, 3.7, 9, 20, 171, 1e5)], "x double").withColumn("g", poisson.log_gamma(F.col("x"))).collect()
+    assert all(r.g == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-12) for r in got)
+
+
+def one_pick_a_round(rows, limit):
+    """rows (read, tax, rel_sim, weight): the cover as it is told."""
+    out, left = [], list(rows)
+    while left:
+        sums = {}
+        for _, t, rel, w in left:
+            sums[t] = sums.get(t, 0.0) + rel * w
+        t, s = min(sums.items(), key=lambda x: (-round(x[1], 9), x[0]))
+        if 2.5 * s < limit:
+            break
+        out.append((t, s))
+        gone = {r for r, u, rel, _ in left if u == t and rel >= 0.5}
+        left = [x for x in left if x[1] != t and x[0] not in gone]
+    return out
+
+
+@pytest.mark.parametrize("most", [64, 3])
+def test_cover_is_that_of_one_pick_a_round(spark, monkeypatch, most):
+    rng = np.random.default_rng(most)
+    rows = []
+    for r in range(900):
+        home = int(rng.integers(60))
+        for t in {home, *(int(x) for x in rng.integers(0, 90, int(rng.integers(0, 3))))}:
+            rows.append((r, t, float(rng.choice([1.0, 0.7, 0.3])), float(rng.choice([1.0, 0.5]))))
+    df = spark.createDataFrame(rows, "read_id long, tax_id long, rel_sim double, weight double").selectExpr("*", "1D depth_w", "1D core_w", "1D lik")
+    rounds = []
+    kept = mixture.stored
+    monkeypatch.setattr(mixture, "stored", lambda d: rounds.append(1) or kept(d))
+    picked, limit = mixture.cover(df, 900, 0.0, 4.0, most=most)
+    want = one_pick_a_round(rows, 4.0)
+    assert [t for t, _ in picked] == [t for t, _ in want] and all(a == pytest.approx(b) for (_, a), (_, b) in zip(picked, want))
+    assert len(want) > 40 and len(rounds) < len(want)
+
+
 def test_cover_and_mixture(spark):
     rows = [(r, 1, 1.0, 1.0) for r in range(30)] + [(r, 2, 0.6, 0.5) for r in range(20)] + [(r, 3, 1.0, 2.0) for r in range(30, 40)] + [(r, 2, 1.0, 1.0) for r in range(40, 44)]
     df = spark.createDataFrame(rows, "read_id long, tax_id long, rel_sim double, lik double").selectExpr("*", "1D weight", "1D depth_w", "1D core_w")
