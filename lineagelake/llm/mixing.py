@@ -5,8 +5,8 @@ targets; documents are then kept with the probability that their cell's weight a
 
 Scale: the cells are one partial aggregation of the texts' counts, so a source with a third
 of all rows is a few partial sums. Any number of values has a cell of its own. A raking step
-is a window sum over the cells of each value of a margin, and nothing but single numbers
-comes to the driver. Rates are broadcast to the documents only if their count is
+is a partial sum by a margin's values whose factors are joined back to the cells, and nothing
+but single numbers comes to the driver. Rates are broadcast to the documents only if their count is
 below BROADCAST_CELLS, else joined.
 """
 
@@ -16,7 +16,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineagelake.session import checkpoint
@@ -99,29 +99,34 @@ def _targets(table: DataFrame, mix: Mix, margins: tuple[str, ...]) -> DataFrame:
 
 
 def rake(table: DataFrame, mix: Mix, margins: tuple[str, ...] = MARGINS) -> DataFrame:
-    """The cell table with `weight` (shares of tokens that sum to one) raked to the targets.
-
-    Sweeps are checked in blocks against `tolerance`, the largest difference of a margin
-    from its target. Cells without tokens get no weight. If no such weights exist, sweeps end
-    where a block comes no closer (by a hundredth), or after `max_blocks` blocks."""
+    """The cell table with `weight` (shares of tokens that sum to one) raked to the targets,
+    and `margins_off`, by how much the margin that is farthest off misses its target.
+
+    A step adds up the weights by a margin's values, partially before anything is shuffled,
+    and joins the factors back: cells of one value are in no task together. Sweeps are
+    checked in blocks against `tolerance`. Cells without tokens get no weight. If no such
+    weights exist, sweeps end where a block comes no closer (by a hundredth), or after
+    `max_blocks` blocks, and margins_off says so."""
     table = checkpoint(table.where("tokens > 0"))
     total = table.agg(F.sum("tokens")).first()[0]
     now = checkpoint(_targets(table, mix, margins).withColumn("weight", F.col("tokens") / F.lit(float(total or 1))))
-    last = math.inf
+    values = now.agg(*[F.count_distinct(m).alias(m) for m in margins]).first()
+    last = worst = math.inf
     for _ in range(mix.max_blocks):
         for _ in range(SWEEPS):
             for m in margins:
-                # A window, not a sum joined back: each such join would double the plan before it.
-                total = F.sum("weight").over(Window.partitionBy(m))
-                now = now.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{m}") / total).otherwise(0.0))
-            now = checkpoint(now)
+                sums = now.groupBy(m).agg(F.sum("weight").alias("_sum"))
+                sums = F.broadcast(sums) if values[m] <= BROADCAST_CELLS else sums.withColumn(m, F.concat(m, F.lit("")))
+                scaled = F.when(F.col("_sum") > 0, F.col("weight") * F.col(f"target_{m}") / F.col("_sum")).otherwise(0.0)
+                # Cut at each step: the sum and the cells it is joined to have one plan.
+                now = checkpoint(now.join(sums, m).withColumn("weight", scaled).drop("_sum"))
         # The last margin was just scaled; the others tell how far off the weights are.
         off = [now.groupBy(m).agg(F.abs(F.sum("weight") - F.max(f"target_{m}")).alias("off")).select("off") for m in margins]
         worst = reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0]
         if worst is None or worst <= mix.tolerance or worst > 0.99 * last:
             break
         last = worst
-    return now
+    return now.withColumn("margins_off", F.lit(None if worst is None else float(worst)).cast("double"))
 
 
 def probabilities(raked: DataFrame, mix: Mix, margins: tuple[str, ...] = MARGINS) -> DataFrame:
@@ -147,16 +152,17 @@ def _marked(told: DataFrame, mix: Mix) -> DataFrame:
     """told (row, key, draw): adds mixed: tokens, weight, probability and verdict."""
     table = cells(told.select("key.*"))
     raked = checkpoint(probabilities(rake(table, mix), mix))
-    rates = raked.select(F.struct(*MARGINS).alias("cell"), F.struct("weight", "tokens", "probability").alias("rate"))
+    rates = raked.select(F.struct(*MARGINS).alias("cell"), F.struct("weight", "tokens", "probability", "margins_off").alias("rate"))
     rates = F.broadcast(rates) if raked.count() <= BROADCAST_CELLS else rates
     out = told.join(rates, F.struct(*[F.col(f"key.{m}").alias(m) for m in MARGINS]) == F.col("cell"), "left")
     p = F.coalesce(F.col("rate.probability"), F.lit(0.0))
-    return out.select("row", F.struct(F.col("key.topic").alias("topic"), F.col("key.n_tokens").alias("n_tokens"), F.coalesce(F.col("rate.weight") / F.col("rate.tokens"), F.lit(0.0)).alias("token_weight"), p.alias("probability"), (F.col("draw") < p).alias("kept")).alias("mixed"))
+    return out.select("row", F.struct(F.col("key.topic").alias("topic"), F.col("key.n_tokens").alias("n_tokens"), F.coalesce(F.col("rate.weight") / F.col("rate.tokens"), F.lit(0.0)).alias("token_weight"), p.alias("probability"), (F.col("draw") < p).alias("kept"), F.col("rate.margins_off").alias("margins_off")).alias("mixed"))
 
 
 def assign(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """docs (doc_id, text, source, lang, ...): doc_id, source, lang, topic, n_tokens,
-    token_weight (the mixture's weight of one token), probability and kept for each row.
+    token_weight (the mixture's weight of one token), probability, kept and margins_off (by
+    how much the worst margin misses its target; null without a weight) for each row.
 
     Null sources and languages count as the empty value. Null and empty texts have no
     tokens, no weight, probability 0 and are not kept. The draw is a hash of doc_id (of the

@@ -38,7 +38,7 @@ BLOCK, ALLOW = "=block", "=allow"
 @dataclass(frozen=True)
 class Mining:
     """Least share and least number of labelled URLs that a rule blocks rightly; least
-    confidence; most tokens a rule (1 to 3)."""
+    confidence; most tokens a rule."""
 
     min_support: float = 0.005
     min_count: int = 20
@@ -95,28 +95,30 @@ def _combinations(labelled: DataFrame, least: int, most: int) -> DataFrame:
     """labelled (_row, blocked, tokens: distinct classes, sorted): (items) with one row for
     each set of at most `most` classes of a URL, to which its size and the label are added.
 
-    A set with two classes of which one implies the other is as sure without the implied one,
-    and a set with a part in fewer than `least` blocked URLs can't reach that count, so
-    neither is made. Sets are streamed by generators, no row holds all of its own."""
+    Sets grow by one class a level. A set goes on only if it is in `least` blocked URLs and
+    in fewer URLs than each of its parts: one that is in as many as a part is as sure as
+    that part, and so is all that holds it. Both hold for all parts of a set that is made.
+    Rows are pairs of a URL and a set; no row holds all sets of its URL."""
     label = F.when(F.col("blocked"), BLOCK).otherwise(ALLOW)
-    single = labelled.select("_row", label.alias("label"), F.posexplode("tokens").alias("i", "a"), "tokens")
-    out = single.select(F.array("a", F.lit("=1"), "label").alias("items"))
-    if most < 2:
-        return out
-    pairs = single.select("_row", "label", "a", F.explode(F.slice("tokens", F.col("i") + 2, F.size("tokens"))).alias("b"))
-    alone = single.groupBy("a").agg(F.count("*").alias("n"))
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum((F.col("label") == BLOCK).cast("long")).alias("bad")).where(F.col("bad") >= least)
-    counted = counted.join(alone.select("a", F.col("n").alias("na")), "a").join(alone.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b")
-    free = checkpoint(counted.where("n < na and n < nb").select("a", "b"))
-    pairs = pairs.join(free, ["a", "b"])
-    out = out.unionByName(pairs.select(F.array("a", "b", F.lit("=2"), "label").alias("items")))
-    if most < 3:
-        return out
-    met = pairs.groupBy("_row", "label").agg(F.collect_list(F.struct("a", "b")).alias("ps"))
-    first = met.select("label", "ps", F.explode("ps").alias("p"))
-    third = F.transform(F.filter("ps", lambda q: (q["a"] == F.col("p.a")) & (q["b"] > F.col("p.b"))), lambda q: q["b"])
-    triples = first.select("label", "ps", "p", F.explode(third).alias("c")).where(F.array_contains("ps", F.struct(F.col("p.b").alias("a"), F.col("c").alias("b"))))
-    return out.unionByName(triples.select(F.array("p.a", "p.b", "c", F.lit("=3"), "label").alias("items")))
+    single = checkpoint(labelled.select("_row", label.alias("label"), F.explode("tokens").alias("t")))
+    items = lambda sets, k: sets.select(F.concat("set", F.array(F.lit(f"={k}"), F.col("label"))).alias("items"))
+    now = single.select("_row", "label", F.array("t").alias("set"))
+    counts = checkpoint(now.groupBy("set").agg(F.count("*").alias("n")))
+    out = items(now, 1)
+    for k in range(2, most + 1):
+        more = single.select("_row", "t").alias("s")
+        grown = now.alias("n").join(more, (F.col("n._row") == F.col("s._row")) & (F.col("t") > F.element_at("set", -1)))
+        grown = grown.select("n._row", "label", F.array_append("set", F.col("t")).alias("set"))
+        counted = grown.groupBy("set").agg(F.count("*").alias("n"), F.sum((F.col("label") == BLOCK).cast("long")).alias("bad")).where(F.col("bad") >= least)
+        parts = counted.select("set", "n", F.explode("set").alias("t")).select("set", "n", F.array_remove("set", F.col("t")).alias("part"))
+        fewer = parts.join(counts.select(F.col("set").alias("part"), F.col("n").alias("of_part")), "part").where("n < of_part")
+        free = fewer.groupBy("set").agg(F.max("n").alias("n"), F.count("*").alias("parts")).where(F.col("parts") == k)
+        counts = checkpoint(free.select("set", "n"))
+        if not counts.limit(1).count():
+            break
+        now = checkpoint(grown.join(counts.select("set"), "set", "left_semi").select("_row", "label", "set"))
+        out = out.unionByName(items(now, k))
+    return out
 
 
 def mine(labelled: DataFrame, mining: Mining = Mining()) -> tuple[DataFrame, DataFrame]:
@@ -129,8 +131,8 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> tuple[DataFrame, Dat
     transactions are the sets of at most `max_tokens` classes (see _combinations), each with
     an item for its size: a set and its size item are then counted once a URL."""
     spark = labelled.sparkSession
-    if not 1 <= mining.max_tokens <= 3:
-        raise ValueError("max_tokens must be 1 to 3")
+    if mining.max_tokens < 1:
+        raise ValueError("max_tokens must be 1 or more")
     # Equal rows need names of their own; the number only tells them apart.
     rows = checkpoint(labelled.select("tokens", "blocked", F.monotonically_increasing_id().alias("_row")))
     n = rows.count()
@@ -145,7 +147,7 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> tuple[DataFrame, Dat
         return none, classes
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=mining.min_confidence, numPartitions=parts).fit(items)
-    size = F.filter("antecedent", lambda x: x.rlike("^=[0-9]$"))
+    size = F.filter("antecedent", lambda x: x.rlike("^=[0-9]+$"))
     tokens = F.array_sort(F.filter("antecedent", lambda x: ~x.rlike("^=")))
     found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK))) & ~F.array_contains("antecedent", ALLOW))
     found = found.select(tokens.alias("tokens"), size.alias("size"), "confidence", (F.round(F.col("support") * total) / n).alias("support"))

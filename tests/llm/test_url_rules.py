@@ -108,3 +108,27 @@ def test_deep_shared_paths(spark):
     got = mined(spark, rows, m)
     assert time.time() - began < 60
     assert got == plain_mine(rows, m)
+
+
+def test_rules_of_four_and_five_tokens(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(500):
+        tokens = [f"t{i}" for i in range(8) if rng.random() < 0.65]
+        four, five = {"t0", "t1", "t2", "t3"} <= set(tokens), {"t3", "t4", "t5", "t6", "t7"} <= set(tokens)
+        rows.append((tokens, four or five or rng.random() < 0.05))
+    m = ur.Mining(min_support=0.005, min_count=4, min_confidence=0.9, max_tokens=5)
+    want, got = plain_mine(rows, m), mined(spark, rows, m)
+    assert set(got) == set(want) and all(abs(got[c] - x) < 1e-9 for c, x in want.items())
+    assert {4, 5} <= {len(c) for c in want}
+
+
+def test_many_independent_tokens(spark):
+    """Forty frequent tokens that tell nothing of each other."""
+    rng = random.Random(6)
+    rows = [([f"t{i}" for i in range(40) if rng.random() < 0.5], rng.random() < 0.5) for _ in range(300)]
+    m = ur.Mining(min_support=0.05, min_count=10, min_confidence=0.75, max_tokens=3)
+    began = time.time()
+    got = mined(spark, rows, m)
+    assert time.time() - began < 120
+    assert set(got) == set(plain_mine(rows, m))
