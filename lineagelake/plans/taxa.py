@@ -65,3 +65,19 @@ def taxon_report(spark, sf_dir):
     samples = counts.join(taxa, "grp", "left").withColumn("pct_matched", 100.0 * F.col("n") / F.col("n_found"))
     found = profile.full_report(samples, YEARS, ["s", "u"], low=0.00001, absolute=True, label=profile.label_of(F.col("taxon"), RULES))
     return found.select("grp", "label", *[F.col(f"`{y}`").alias(f"y{y}") for y in YEARS], "species", "taxon", "total")
+
+
+CERTAIN = 0.9  # weight of each read in the profile file's query
+LINES = f"""{TAXONOMY}, whole AS (SELECT (SELECT count(*) FROM orders) AS n, count(DISTINCT read_id) AS matched, {CERTAIN} * sum(prop) AS certain FROM assigned),
+refs AS (SELECT grp, {CERTAIN} * sum(weight) AS w, string_agg(CAST(tax_id AS VARCHAR), ',' ORDER BY round({CERTAIN} * b0, 7) DESC, tax_id) AS refs FROM flat GROUP BY 1)"""
+
+
+@query(f"""WITH {LINES} SELECT concat_ws(chr(9), 'Total', n, printf('%.3f', CAST(matched AS DOUBLE))) AS value FROM whole UNION ALL SELECT concat_ws(chr(9), 'Unmatched', printf('%.3f', 100.0 * (n - matched) / n), '0.000') FROM whole
+UNION ALL SELECT concat_ws(chr(9), 'Uncertain_match', printf('%.3f', 100 * (matched - certain) / n), printf('%.3f', 100 * (matched - certain) / matched)) FROM whole
+UNION ALL SELECT concat_ws(chr(9), grp, printf('%.4f', 100 * w / n), printf('%.4f', 100 * w / matched), taxonomy || ' (' || refs || ')') FROM refs JOIN taxa USING (grp), whole WHERE w / n >= 0.0001""")
+def profile_file(spark, sf_dir):
+    """The lines of a profile file with taxonomies of all ranks."""
+    assigned = _plainly_assigned(spark, sf_dir).withColumn("depth_w", F.lit(CERTAIN))
+    n_reads = table(spark, sf_dir, "orders").count()
+    found = profile.full_profile(assigned, mapping.addresses(spark, sf_dir), _labels(spark, sf_dir), _names(spark, sf_dir), n_reads)
+    return profile.file_lines(found, profile.summary(assigned, n_reads))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lineagelake.operators.catalog import active
+from lineagelake.sources.versioned import VersionedTable
+
 
 def genome_list(spark: SparkSession, path: str, blank: str | None = None) -> DataFrame:
     """Tab-separated list with a header; lines before it have no tab. `na` is null (or
@@ -20,6 +23,16 @@ def genome_list(spark: SparkSession, path: str, blank: str | None = None) -> Dat
     return rows.select(*[clean(F.get(part, F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
+def catalog(spark: SparkSession, path: str, version: int | None = None, include_deleted: bool = False) -> DataFrame:
+    """A catalogue that writers.catalog wrote, as of a version; rows marked as deleted only if asked for."""
+    return active(VersionedTable(spark, path).read(version).drop("is_deleted"), include_deleted)
+
+
+def mapping(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(members, sequences) that writers.mapping wrote."""
+    return VersionedTable(spark, f"{path}/members").read(), VersionedTable(spark, f"{path}/sequences").read()
+
+
 def taxonomy_names(spark: SparkSession, path: str) -> DataFrame:
     p = F.split("value", "\t", -1)
     return spark.read.text(path).select(p[0].cast("long").alias("taxid"), p[2].alias("name"), p[6].alias("name_class"))
@@ -30,14 +43,20 @@ def taxonomy_nodes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(p[0].cast("long").alias("taxid"), p[2].cast("long").alias("parent"), p[4].alias("rank"))
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): lines numbered from 0 in file order; plain or gzip, one file."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_part"))
+def _placed(lines: DataFrame) -> DataFrame:
+    """lines (value) with n, numbers from 0 in file order: places within partitions, and the
+    partitions' sizes added up. No task sees all lines."""
+    lines = lines.select("value", F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_part"))
     sizes = lines.groupBy("_part").agg(F.count("*").alias("_size"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return lines.join(F.broadcast(sizes.select("_part", "_first", before.alias("_before"))), "_part").select((F.col("_at") - F.col("_first") + F.col("_before")).alias("n"), "value")
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): lines numbered from 0 in file order; plain or gzip, one file."""
+    return _placed(spark.read.text(path))
+
+
 def fastq(spark: SparkSession, path: str, mate: int = 1) -> DataFrame:
     """read_id (from 0, in file order), read_name, mate, seq, qual."""
     rows = _numbered(spark, path).withColumn("read_id", F.floor(F.col("n") / 4).cast("long"))
@@ -48,8 +67,8 @@ def fastq(spark: SparkSession, path: str, mate: int = 1) -> DataFrame:
 def fasta(spark: SparkSession, path: str, mate: int = 1) -> DataFrame:
     """The same columns of FASTA, whose sequences may be wrapped; quality H throughout. A
     record is what stands between two `>` at line starts, however long."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"), F.monotonically_increasing_id().alias("_at"))
-    rows = raw.where(F.trim("value") != "").withColumn("read_id", (F.row_number().over(Window.orderBy("_at")) - 1).cast("long"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
+    rows = _placed(raw).withColumnRenamed("n", "read_id")
     head = F.regexp_extract("value", r"^[^\s]*", 0)
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     return rows.select("read_id", head.alias("read_name"), F.lit(mate).alias("mate"), seq.alias("seq"), F.repeat(F.lit("H"), F.length(seq)).alias("qual"))

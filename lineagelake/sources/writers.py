@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineagelake.sources.versioned import VersionedTable
+
 
 def tsv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
 
 
-def catalog(df: DataFrame, path: str) -> None:
-    """A new version of the catalogue in a folder of its own, split by active or deleted."""
-    df.withColumn("is_deleted", F.col("deleted").isNotNull()).write.partitionBy("is_deleted").parquet(path)
+def catalog(df: DataFrame, path: str, after: int | None = None) -> int:
+    """The catalogue as a new version, whole or not at all; returns its number. after: the
+    version it was made from, for writers that may meet."""
+    return VersionedTable(df.sparkSession, path).commit(df.withColumn("is_deleted", F.col("deleted").isNotNull()), ("is_deleted",), append=False, after=after)
 
 
 def sketches(df: DataFrame, path: str) -> None:
@@ -20,8 +23,13 @@ def sketches(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def mapping_members(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").partitionBy("mapdb", "shard").parquet(path)
+def mapping(members: DataFrame, sequences: DataFrame, path: str, append: bool = False) -> None:
+    """A mapping database's members (mapdb, shard, tax_id) and sequences (mapdb, shard,
+    seq_name, tax_id). Sequences come first; members, which readers start from, name a shard
+    only once its sequences are there. A write that fails leaves the version before."""
+    spark = members.sparkSession
+    VersionedTable(spark, f"{path}/sequences").commit(sequences, ("mapdb", "shard"), append)
+    VersionedTable(spark, f"{path}/members").commit(members, ("mapdb", "shard"), append)
 
 
 def hits(df: DataFrame, path: str) -> None:

@@ -70,3 +70,45 @@ def test_stream(spark, tmp_path):
         incremental.start(spark, src, "id long, text string", out, str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 5]
     assert tuple(incremental.summary(spark, out).first()) == (3, 3)
+
+
+def test_writers_and_their_readers(spark, tmp_path):
+    at = lambda x: str(tmp_path / x)
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, None, None)], "index long, name string, deleted string")
+    assert writers.catalog(rows, at("c")) == 1
+    assert sorted(r["index"] for r in readers.catalog(spark, at("c")).collect()) == [1, 3]
+    assert readers.catalog(spark, at("c"), include_deleted=True).count() == 3
+    assert writers.catalog(rows.where("index = 1"), at("c"), after=1) == 2 and readers.catalog(spark, at("c")).count() == 1 and readers.catalog(spark, at("c"), 1).count() == 2
+
+    members = spark.createDataFrame([("db", 0, 1), ("db", 1, 2)], "mapdb string, shard int, tax_id long")
+    seqs = spark.createDataFrame([("db", 0, "s1", 1), ("db", 1, "s2", 2)], "mapdb string, shard int, seq_name string, tax_id long")
+    writers.mapping(members, seqs, at("m"))
+    writers.mapping(members.withColumn("shard", members.shard + 2), seqs.withColumn("shard", seqs.shard + 2), at("m"), append=True)
+    m, s = readers.mapping(spark, at("m"))
+    assert sorted(r.shard for r in m.collect()) == [0, 1, 2, 3] and s.where("shard = 3").first().seq_name == "s2"
+
+    writers.tsv(rows, at("t"))
+    assert [tuple(r) for r in spark.read.option("sep", "\t").option("header", True).csv(at("t")).orderBy("index").collect()] == [("1", "a", None), ("2", "b", "x"), ("3", None, None)]
+    writers.sketches(spark.createDataFrame([(1, "virus"), (2, "large")], "key long, bucket string"), at("s"))
+    writers.sketches(spark.createDataFrame([(3, "virus")], "key long, bucket string"), at("s"))
+    assert spark.read.parquet(at("s")).where("bucket = 'virus'").count() == 2
+    writers.hits(spark.range(5), at("h"))
+    assert spark.read.parquet(at("h")).count() == 5
+    reads = spark.createDataFrame([(0, "r0", "ACGT", "HHHH"), (1, "r1", "AC", "HH")], "read_id long, read_name string, seq string, qual string")
+    writers.fastq(reads, spark.createDataFrame([(1, 9)], "read_id long, first_tax long"), at("f"))
+    assert [r.value for r in spark.read.text(at("f")).collect()] == ["@r1 1 9", "AC", "+", "HH"]
+    writers.json_lines(rows.where("index = 2"), at("j"))
+    assert spark.read.text(at("j")).first().value == '{"deleted":"x","index":2,"name":"b"}'
+
+
+def test_fasta_is_numbered_over_partitions(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("".join(f">s{i} x\nAC{'G' * (i % 7)}\nT\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = readers.fasta(spark, str(tmp_path / "a.fa"))
+        assert df.rdd.getNumPartitions() > 1
+        rows = df.orderBy("read_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.read_id, r.read_name, r.seq) for r in rows] == [(i, f"s{i}", f"AC{'G' * (i % 7)}T") for i in range(3000)]
