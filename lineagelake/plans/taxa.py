@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lineagelake.operators import profile
+from lineagelake.operators import profile, truth
 from lineagelake.plans import mapping
 from lineagelake.plans.registry import PLAIN, YEARS, _plainly_assigned, _r, query
-from lineagelake.session import table
+from lineagelake.session import stored, table
 
 # Ranks of a supplier: (rank, SQL that both engines read).
 LABELS = (
@@ -81,3 +81,33 @@ def profile_file(spark, sf_dir):
     n_reads = table(spark, sf_dir, "orders").count()
     found = profile.full_profile(assigned, mapping.addresses(spark, sf_dir), _labels(spark, sf_dir), _names(spark, sf_dir), n_reads)
     return profile.file_lines(found, profile.summary(assigned, n_reads))
+
+
+# Suppliers are species of nations (phyla) of regions (superkingdoms); an order's truth is the supplier of its first line.
+TOLD = ("superkingdom", "phylum", "species")
+TRUTH = f"""{PLAIN}, tree AS (SELECT s_suppkey AS sup, 1000000000 + n_regionkey AS superkingdom, 2000000000 + s_nationkey AS phylum, 10 + s_suppkey AS species FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+truth AS (SELECT o_orderkey AS read_id, t.* FROM orders JOIN tree t ON t.sup = (SELECT arg_min(l_suppkey, {{'a': l_linenumber, 'b': l_suppkey}}) FROM lineitem WHERE l_orderkey = o_orderkey)),
+vote AS (SELECT s_suppkey % 40 AS grp, 10 + s_suppkey AS species, s_suppkey % 7 > 0 AS formal FROM supplier), kept AS (SELECT grp, species, formal FROM vote QUALIFY formal OR NOT bool_or(formal) OVER (PARTITION BY grp)),
+rows AS (SELECT read_id, round(prop, 9) AS prop, round(dist, 9) AS dist, k.species, k.formal, x.superkingdom, x.phylum FROM assigned a JOIN kept k ON k.grp = a.tax_id % 40 JOIN tree x ON 10 + x.sup = k.species),
+told AS ({' UNION ALL '.join(f"SELECT read_id, '{r}' AS rank, {'CASE WHEN dist >= 5 OR NOT formal THEN 0 ELSE species END' if r == 'species' else r} AS id, prop FROM rows" for r in TOLD)}),
+sure AS (SELECT read_id, rank, list(DISTINCT id) AS ids FROM (SELECT read_id, rank, id FROM told GROUP BY ALL HAVING sum(prop) >= 0.8) GROUP BY ALL),
+pairs AS ({' UNION ALL '.join(f"SELECT '{r}' AS rank, t.{r} AS t, coalesce(s.ids, [0]) AS p FROM truth t JOIN (SELECT DISTINCT read_id FROM rows) q USING (read_id) LEFT JOIN sure s ON s.read_id = t.read_id AND s.rank = '{r}'" for r in TOLD)}),
+kind AS (SELECT rank, CASE WHEN list_contains(p, t) THEN 'true' WHEN len(list_filter(p, lambda x: x <> 0)) > 0 THEN 'wrong' ELSE 'missed' END AS k FROM pairs)"""
+
+
+@query(f"""WITH {TRUTH}, c AS (SELECT rank, count(*) FILTER (WHERE k = 'true') AS tp, count(*) FILTER (WHERE k = 'wrong') AS w, count(*) FILTER (WHERE k = 'missed') AS m FROM kind GROUP BY 1)
+SELECT rank, tp AS n_true, w AS n_false_positive, w + m AS n_false_negative, round(tp / (tp + w), 6) AS precision, round(tp / (tp + w + m), 6) AS recall FROM c""")
+def truth_scores(spark, sf_dir):
+    """From a taxonomy, a truth of reads and their assignments to scores by rank."""
+    s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
+    key = lambda c, base: F.col(c).cast("long") + base
+    nodes = s.select(key("s_suppkey", 10).alias("id"), key("s_nationkey", 2_000_000_000).alias("parent"), F.lit("species").alias("rank"))
+    nodes = nodes.unionByName(n.select(key("n_nationkey", 2_000_000_000).alias("id"), key("n_regionkey", 1_000_000_000).alias("parent"), F.lit("phylum").alias("rank")))
+    nodes = nodes.unionByName(r.select(key("r_regionkey", 1_000_000_000).alias("id"), F.lit(None).cast("long").alias("parent"), F.lit("superkingdom").alias("rank")))
+    ranked = stored(truth.rank_ids(nodes, ranks=TOLD))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_suppkey"))["l_suppkey"].alias("sup"))
+    truths = truth.truth(li.select(F.col("l_orderkey").alias("read"), (F.col("sup") + 10).alias("taxid")), ranked, TOLD)
+    members = s.select(F.col("s_suppkey").alias("tax_id"), (F.col("s_suppkey") % 40).alias("grp"), F.col("s_suppkey").alias("unit"), (F.col("s_suppkey") + 10).alias("taxid"), (F.col("s_suppkey") % 7 > 0).alias("formal"))
+    assigned = _plainly_assigned(spark, sf_dir).withColumns({"prop": F.round("prop", 9), "dist": F.round("dist", 9)})
+    found = truth.rank_scores(truths, truth.predicted(assigned, members, ranked, TOLD), TOLD)
+    return found.select("rank", "n_true", "n_false_positive", "n_false_negative", _r("precision"), _r("recall"))
