@@ -93,7 +93,8 @@ def votes(spark: SparkSession, keyed: DataFrame, rule: Voting) -> DataFrame:
     label, share (of the notice's words), first and last word."""
     key = ["doc_id", "text_hash"]
     grams = keyed.select(*key, F.posexplode(_grams(F.col("words"), rule.k)).alias("d", "gram"))
-    hits = grams.join(F.broadcast(_notice_grams(spark, rule)), "gram")
+    # Rows that repeat a document bring their few hits again: one of each is enough.
+    hits = grams.join(F.broadcast(_notice_grams(spark, rule)), "gram").drop("gram").distinct()
     lines = hits.groupBy(*key, "notice", "label", "n_words", (F.col("d") - F.col("p")).alias("diagonal")).agg(F.collect_list("d").alias("ds"))
     order = Window.partitionBy(*key, "notice").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > rule.slack, F.lit(True))

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lineagelake.llm import license_scan as ls
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -90,3 +92,13 @@ def test_scattered_and_shuffled_notices(spark):
     labels = {r.doc_id: r.labels for r in ls.scan(df).collect()}
     # The opening sentence is a notice of its own.
     assert labels[1] == labels[4] == labels[6] == "mit" and labels[2] == labels[3] == "" and labels[5] == "mit"
+
+
+def test_rows_that_repeat_bring_no_more_hits(spark):
+    """Thousands of rows without an id and one text are one to the votes."""
+    notice = ls.NOTICES[0][1]
+    df = spark.createDataFrame([(None, f"before {notice} after")] * 3000 + [(1, notice)], "doc_id long, text string")
+    keyed = df.select("doc_id", F.xxhash64("text").alias("text_hash"), ls.words_of(F.col("text")).alias("words"))
+    assert ls.votes(spark, keyed, ls.Voting()).count() == 2
+    rows = ls.scan(df).collect()
+    assert len(rows) == 3001 and len({(r.doc_id, r.labels, r.score) for r in rows}) == 2
