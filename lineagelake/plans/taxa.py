@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lineagelake.operators import profile, truth
+from lineagelake.operators import profile, rules, truth
 from lineagelake.plans import mapping
 from lineagelake.plans.registry import PLAIN, YEARS, _plainly_assigned, _r, query
 from lineagelake.session import stored, table
@@ -111,3 +111,13 @@ def truth_scores(spark, sf_dir):
     assigned = _plainly_assigned(spark, sf_dir).withColumns({"prop": F.round("prop", 9), "dist": F.round("dist", 9)})
     found = truth.rank_scores(truths, truth.predicted(assigned, members, ranked, TOLD), TOLD)
     return found.select("rank", "n_true", "n_false_positive", "n_false_negative", _r("precision"), _r("recall"))
+
+
+@query("""WITH rules AS (SELECT DISTINCT substring(c_name, 7, 11) || CASE c_custkey % 3 WHEN 0 THEN '[0-4]$' WHEN 1 THEN '.$' ELSE '(1|7)' END AS pattern, c_mktsegment AS label FROM customer WHERE c_custkey % 2 = 0),
+met AS (SELECT c_custkey, min({'label': label, 'pattern': pattern}) AS m FROM customer JOIN rules ON regexp_matches(c_name, pattern) GROUP BY 1) SELECT c.c_custkey, coalesce(m.m.label, 'non') AS label FROM customer c LEFT JOIN met m USING (c_custkey)""")
+def rule_table_labels(spark, sf_dir):
+    """Customers' names labelled by hundreds of patterns that every second customer makes."""
+    c = table(spark, sf_dir, "customer")
+    tail = F.when(F.col("c_custkey") % 3 == 0, "[0-4]$").when(F.col("c_custkey") % 3 == 1, ".$").otherwise("(1|7)")
+    made = c.where("c_custkey % 2 = 0").select(F.concat(F.substring("c_name", 7, 11), tail).alias("pattern"), F.col("c_mktsegment").alias("label"))
+    return rules.labelled(c.select("c_custkey", "c_name"), "c_name", made).select("c_custkey", "label")
