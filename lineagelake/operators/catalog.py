@@ -271,3 +271,17 @@ def discover(members: DataFrame, names: str) -> DataFrame:
 def sequence_dictionary(members: DataFrame) -> DataFrame:
     """members (mapdb, shard, seq_name, tax_id): adds seq_id, numbers from 0 by database, shard and name."""
     return numbered(members, "mapdb", "shard", "seq_name", "tax_id", name="seq_id")
+
+
+def representatives(rows: DataFrame, group: str, key: str, columns: list[str]) -> DataFrame:
+    """The first member (least key) of each group, with these columns."""
+    first = F.min(F.struct(key, *columns)).alias("_first")
+    return rows.groupBy(group).agg(first).select(group, *[F.col("_first")[c].alias(c) for c in (key, *columns)])
+
+
+def append_members(present: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """(key, mark) of a mapping database that is added to: 1 for what is there, each once, 2
+    for what is chosen and not there."""
+    there = present.select(key).distinct()
+    new = chosen.select(key).distinct().join(there, key, "left_anti")
+    return there.select(key, F.lit(1).alias("mark")).unionByName(new.select(key, F.lit(2).alias("mark")))

@@ -120,8 +120,8 @@ def search_groups(spark, sf_dir):
 @query("""WITH c AS (SELECT s_nationkey, s_suppkey, s_name, CAST(round(s_acctbal * 10000) AS BIGINT) AS size FROM supplier) SELECT s_nationkey AS grp, s_suppkey AS "index", s_name AS organism_name, size FROM c QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 1""")
 def group_representatives(spark, sf_dir):
     """The first member of each group, with its details."""
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), F.struct(F.col("s_suppkey").alias("index"), F.col("s_name").alias("organism_name"), F.round(F.col("s_acctbal") * 10_000).cast("long").alias("size")).alias("m"))
-    return rows.groupBy("grp").agg(F.min("m").alias("m")).select("grp", "m.*")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("index"), F.col("s_name").alias("organism_name"), F.round(F.col("s_acctbal") * 10_000).cast("long").alias("size"))
+    return cat.representatives(rows, "grp", "index", ["organism_name", "size"])
 
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

@@ -144,9 +144,7 @@ SELECT "index", CASE WHEN "index" IN (SELECT "index" FROM present) THEN 1 ELSE 2
 def mapping_append(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     index = F.col("l_suppkey").alias("index")
-    present = li.where("l_linenumber = 7").select(index).distinct()
-    added = li.where("l_returnflag = 'R'").select(index).distinct().join(present, "index", "left_anti")
-    return present.select("index", F.lit(1).alias("mark")).unionByName(added.select("index", F.lit(2).alias("mark")))
+    return cat.append_members(li.where("l_linenumber = 7").select(index), li.where("l_returnflag = 'R'").select(index), "index")
 
 
 SAM = """s AS (SELECT *, list_transform(regexp_extract_all(cigar, '([0-9]+)[SH]', 1), lambda x: CAST(x AS BIGINT)) AS clips FROM (SELECT l_orderkey AS read_id, l_suppkey AS tax_id, l_suppkey * 4 + l_partkey % 4 AS seq_id, CAST(l_extendedprice AS BIGINT) AS site, l_linenumber,
