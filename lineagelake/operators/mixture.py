@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineagelake.operators.catalog import numbered
-from lineagelake.session import checkpoint, stored
+from lineagelake.session import checkpoint, discard, stored
 
 UNASSIGNED = -1
 
@@ -60,7 +60,9 @@ def cover(cands: DataFrame, n_reads: int, min_freq: float, min_num: float, cap:
         picked += now
         gone = F.array(*[F.lit(t) for t, _ in now]).cast("array<long>")
         left = reads.where(~F.exists("hits", lambda h: h["strong"] & F.array_contains(gone, h["tax_id"])))  # noqa: B023
-        reads = stored(left.select("read_id", F.filter("hits", lambda h: ~F.array_contains(gone, h["tax_id"])).alias("hits")).where(F.size("hits") > 0))  # noqa: B023
+        last, reads = reads, stored(left.select("read_id", F.filter("hits", lambda h: ~F.array_contains(gone, h["tax_id"])).alias("hits")).where(F.size("hits") > 0))  # noqa: B023
+        discard(last)
+    discard(reads)
     if len(picked) > cap:
         limit = max(n_reads * min_freq * 5, min_num * 2)
         picked = [p for p in picked if p[1] >= limit]
