@@ -26,6 +26,7 @@ from lineagelake.llm.graph import components
 from lineagelake.session import checkpoint, own_exchange
 
 BLOCK = 2048
+_ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def simhash(raw: bytes, shingle: int = 4) -> int:
@@ -50,6 +51,21 @@ def simhash(raw: bytes, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(parts), bitorder="little").view(np.uint64)[0])
 
 
+def wide(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of 64-bit hashes in `words` words of 64 bits, each with hashes of its own that
+    are mixed from the given ones; of none all bits are 0."""
+    ones = np.zeros(64 * words, np.int64)
+    salt = np.arange(1, words + 1, dtype=np.uint64) * _ODD[0]
+    for i in range(0, len(hashes), 255):  # as many as a byte counts
+        h = hashes[i : i + 255, None] ^ salt
+        for odd in _ODD:
+            h ^= h >> np.uint64(32)
+            h *= odd
+        h ^= h >> np.uint64(29)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp, text_hash): one row for each row of docs, fp the fingerprint as a signed
     long, text_hash what tells rows of one id with different texts apart."""
