@@ -1,10 +1,15 @@
 """Labels by many regular expressions: rules stay a table.
 
-Most patterns have a stretch of fixed text that every match holds. Its rarest group of three
+Most patterns have a stretch of fixed text that every match holds. Its rarest group of
 characters, by how many names hold it, is the rule's entry in an inverted index; names meet
 rules there by an ordinary join, and only what meets and holds the fixed text is matched. A
-rule whose fixed text has a group that no name holds meets nothing. Patterns without three
-characters of fixed text are tried on every name, so there may be only few.
+group has the largest width, of three, four, eight and so on, that the fixed text has, so
+long fixed texts meet few names however alike these are. A rule whose fixed text has a group
+that no name holds meets nothing. Patterns without three characters of fixed text are tried
+on every name, so there may be only few.
+
+Names and rules are alike and compress to a small part of what they are in memory, which the
+files of stored tables hide, so joins of them are merged and none is broadcast.
 """
 
 from __future__ import annotations
@@ -63,9 +68,14 @@ def _with_text(rules: DataFrame) -> DataFrame:
     return rules.select("pattern", "label").where("pattern is not null").distinct().mapInArrow(run, "pattern string, label string, text string")
 
 
-def _groups(text: Column) -> Column:
-    at = F.sequence(F.lit(1), F.length(text) - (SIZE - 1))
-    return F.when(F.length(text) >= SIZE, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, SIZE)))).otherwise(F.array().cast("array<string>"))
+def _width(text: Column) -> Column:
+    """Of the group that a fixed text of SIZE characters or more is found by."""
+    return F.when(F.length(text) <= SIZE, SIZE).otherwise(F.pow(F.lit(2), F.floor(F.log2(F.length(text) + 0.5)))).cast("int")
+
+
+def _groups(text: Column, width: Column) -> Column:
+    at = F.sequence(F.lit(1), F.length(text) - width + 1)
+    return F.when(F.length(text) >= width, F.array_distinct(F.transform(at, lambda i: F.substring(text, i, width)))).otherwise(F.array().cast("array<string>"))
 
 
 def labelled(rows: DataFrame, name: str, rules: DataFrame, default: str = "non", label: str = "label") -> DataFrame:
@@ -78,16 +88,19 @@ def labelled(rows: DataFrame, name: str, rules: DataFrame, default: str = "non",
     free = told.where(F.length("text") < SIZE).select("pattern", "label").limit(FREE + 1).collect()
     if len(free) > FREE:
         raise ValueError(f"over {FREE} patterns have no fixed text of {SIZE} characters")
-    held = names.select("_name", F.explode(_groups(F.col("_name"))).alias("g"))
+    long = told.where(F.length("text") >= SIZE).withColumn("width", _width(F.col("text")))
+    widths = [F.lit(r.width) for r in long.select("width").distinct().orderBy("width").collect()]  # powers of two
+    asked = stored(long.select("pattern", "label", "text", F.explode(_groups(F.col("text"), F.col("width"))).alias("g")))
+    groups = F.flatten(F.array(*[_groups(F.col("_name"), w) for w in widths])) if widths else F.array().cast("array<string>")
+    held = names.select("_name", F.explode(groups).alias("g")).join(asked.select("g").distinct().hint("merge"), "g", "left_semi")
     often = held.groupBy("g").agg(F.count("*").alias("f"))
-    asked = told.where(F.length("text") >= SIZE).select("pattern", "label", "text", F.explode(_groups(F.col("text"))).alias("g"))
-    rare = asked.join(own_exchange(often, "f").withColumn("g", F.concat("g", F.lit(""))), "g", "left").groupBy("pattern", "label", "text").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g")).alias("r"))
+    rare = asked.join(own_exchange(often, "f").withColumn("g", F.concat("g", F.lit(""))).hint("merge"), "g", "left").groupBy("pattern", "label", "text").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g")).alias("r"))
     index = rare.where("r.f > 0").select("pattern", "label", "text", F.col("r.g").alias("g"))
-    met = held.join(index, "g").where(F.contains("_name", F.col("text"))).where(F.regexp_like("_name", F.col("pattern"))).select("_name", "label", "pattern")
+    met = held.join(index.hint("merge"), "g").where(F.contains("_name", F.col("text"))).where(F.regexp_like("_name", F.col("pattern"))).select("_name", "label", "pattern")
     if free:
         tried = F.array(*[F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label")) for r in free])
         few = names.select("_name", F.explode(F.filter(tried, lambda r: F.regexp_like(F.col("_name"), r["pattern"]))).alias("r"))
         met = met.unionByName(few.select("_name", "r.label", "r.pattern"))
     first = met.groupBy("_name").agg(F.min(F.struct("label", "pattern"))["label"].alias("_label"))
-    out = rows.join(first, rows[name].cast("string") == F.col("_name"), "left")
+    out = rows.join(first.hint("merge"), rows[name].cast("string") == F.col("_name"), "left")
     return out.select(*[rows[c] for c in rows.columns], F.coalesce("_label", F.lit(default)).alias(label))

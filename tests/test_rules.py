@@ -33,3 +33,19 @@ def test_too_many_free_patterns(spark, monkeypatch):
     with pytest.raises(ValueError):
         rules.labelled(df, "taxon", spark.createDataFrame([(f"{c}.", "x") for c in "abcd"], "pattern string, label string"))
     assert rules.labelled(df.limit(0), "taxon", spark.createDataFrame([], "pattern string, label string")).count() == 0
+
+
+def test_rules_meet_few_names_that_are_alike(spark):
+    """Names that differ in their last digits alone: groups of three characters would bring
+    some 300,000 names and rules together."""
+    names = spark.range(2000).selectExpr("id", "format_string('Customer#%09d', id) as taxon")
+    made = names.selectExpr("concat(substring(taxon, 7, 11), if(id % 3 = 0, '[0-4]$', '(1|7)')) as pattern", "concat('l', id % 5) as label")
+    found = rules.labelled(names, "taxon", made)
+    table = sorted({(r.pattern, r.label) for r in made.collect()}, key=lambda r: (r[1], r[0]))
+    by_text = {}
+    for p, lab in table:
+        by_text.setdefault(p[:11], []).append((p, lab))
+    got = {r.taxon: r.label for r in found.collect()}
+    assert got == {n: next((lab for p, lab in by_text.get(n[6:17], []) if re.search(p, n)), "non") for n in got} and len(got) == 2000
+    long = names.limit(1).select(rules._width(rules.F.lit("er#00000000")).alias("w")).first().w
+    assert long == 8 and "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
