@@ -3,11 +3,13 @@
 barcode_parse(code), barcode_prefix(code, level), mash_distance(a, b, k, s) and
 mash_overlap(a, b, s) are SQL expressions, which the optimiser puts in place of the call;
 kmers(text, k) and kmers(text, k, bases) are table functions for a lateral join: h, the hash
-of each k-mer with its place i from 0.
+of each k-mer with its place i from 0. kmer_extent(text, k) is one too: the number of a
+text's different k-mers and their least and largest hash, no row where it has none.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
@@ -31,8 +33,17 @@ class Kmers:
         yield from enumerate(sketch.kmer_hashes(text or "", k, bases).tolist())
 
 
+@udtf(returnType="n_different: bigint, least: bigint, largest: bigint")
+class KmerExtent:
+    def eval(self, text: str, k: int):
+        found = np.sort(sketch.kmer_hashes(text or "", k))
+        if len(found):
+            yield 1 + int(np.count_nonzero(np.diff(found))), int(found[0]), int(found[-1])
+
+
 def register(spark: SparkSession) -> None:
     """For this session; again is no error."""
     for head, (kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
     spark.udtf.register("kmers", Kmers)
+    spark.udtf.register("kmer_extent", KmerExtent)

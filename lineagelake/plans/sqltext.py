@@ -19,7 +19,10 @@ def sql_barcodes(spark, sf_dir):
 @query(f"WITH {SKETCHES} SELECT doc_id, count(*) AS n_different, min(h) AS least, max(h) AS largest FROM mers GROUP BY 1")
 def sql_kmers(spark, sf_dir):
     sql.register(spark)
-    text = f"""SELECT doc_id, count(DISTINCT h) AS n_different, min(h) AS least, max(h) AS largest FROM {{docs}} d, LATERAL kmers(d.text, {K}) GROUP BY doc_id"""
+    # Rows that share an id are one document, whose k-mers are put together; others are counted in the row.
+    text = f"""WITH again AS (SELECT doc_id AS id FROM {{docs}} GROUP BY doc_id HAVING count(*) > 1)
+    SELECT doc_id, n_different, least, largest FROM (SELECT d.doc_id, d.text FROM {{docs}} d LEFT ANTI JOIN again ON d.doc_id <=> again.id) d, LATERAL kmer_extent(d.text, {K})
+    UNION ALL SELECT doc_id, count(DISTINCT h) AS n_different, min(h) AS least, max(h) AS largest FROM (SELECT d.doc_id, d.text FROM {{docs}} d LEFT SEMI JOIN again ON d.doc_id <=> again.id) d, LATERAL kmers(d.text, {K}) GROUP BY doc_id"""
     return spark.sql(text, docs=table(spark, sf_dir, "documents"))
 
 
