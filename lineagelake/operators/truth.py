@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineagelake.operators import profile
 from lineagelake.operators.catalog import closure
+from lineagelake.session import stored
 
 # The ranks that evaluation compares, and for each dialect of read tables the
 # header lines, the read's column and the column that tells where it comes from.
 RANKS = ("superkingdom", "phylum", "class", "order", "family", "genus", "species")
+KINDS = ("true", "wrong", "missed", "spurious", "none")
 DIALECTS = {"CAMI": (4, 0, 2), "KEGG": (1, 1, 1), "NCBI": (1, 1, 1)}
 
 
@@ -61,6 +66,13 @@ def truth(reads: DataFrame, ranked: DataFrame, ranks: tuple[str, ...] = RANKS) -
     return both.select("read", *[F.coalesce(F.col(r), F.lit(0)).cast("string").alias(r) for r in ranks])
 
 
+def _votes(members: DataFrame) -> DataFrame:
+    """(grp, informal, taxid): the species that each group votes for."""
+    named = members.select("grp", "unit", F.concat(F.when(F.col("formal"), "").otherwise("*"), F.col("taxid").cast("string")).alias("species"))
+    votes = profile.species_vote(named, "grp", "unit", "species")
+    return votes.select("grp", F.startswith("species", F.lit("*")).alias("informal"), F.regexp_replace("species", r"^\*", "").cast("long").alias("taxid"))
+
+
 def predicted(assigned: DataFrame, members: DataFrame, ranked: DataFrame, ranks: tuple[str, ...] = RANKS, least: float = 0.8) -> DataFrame:
     """assigned (read_id, tax_id, prop, dist, mean_dist), members (tax_id, grp, unit, taxid,
     formal): (read, ids for each rank as text), by the species that the group of each
@@ -68,9 +80,7 @@ def predicted(assigned: DataFrame, members: DataFrame, ranked: DataFrame, ranks:
 
     Of the species that a group votes for each counts with the reference's share of the read;
     an informal one is told at ranks above species alone."""
-    named = members.select("tax_id", "grp", "unit", F.concat(F.when(F.col("formal"), "").otherwise("*"), F.col("taxid").cast("string")).alias("species"))
-    votes = profile.species_vote(named.select("grp", "unit", "species"), "grp", "unit", "species")
-    told = named.select("tax_id", "grp").distinct().join(votes.select("grp", "species"), "grp").select("tax_id", F.startswith("species", F.lit("*")).alias("informal"), F.regexp_replace("species", r"^\*", "").cast("long").alias("taxid"))
+    told = members.select("tax_id", "grp").distinct().join(_votes(members), "grp").drop("grp")
     rows = assigned.where("tax_id <> -1").join(told, "tax_id").join(ranked, "taxid", "left")
     return profile.interpret(rows.select("read_id", "prop", "dist", "mean_dist", "informal", *ranks), list(ranks), least).withColumnRenamed("read_id", "read")
 
@@ -80,3 +90,78 @@ def rank_scores(truths: DataFrame, guesses: DataFrame, ranks: tuple[str, ...] =
     both = truths.select("read", *[F.col(r).alias(f"t_{r}") for r in ranks]).join(guesses.select("read", *[F.col(r).alias(f"p_{r}") for r in ranks]), "read")
     parts = [profile.scores(both.select(F.col(f"t_{r}").alias("truth"), F.col(f"p_{r}").alias("predicted"))).select(F.lit(r).alias("rank"), "*") for r in ranks]
     return reduce(DataFrame.unionByName, parts)
+
+
+def graded(truths: DataFrame, assigned: DataFrame, members: DataFrame, ranked: DataFrame, ranks: tuple[str, ...] = RANKS, least: float = 0.8) -> DataFrame:
+    """rank_scores(truths, predicted(assigned, members, ranked, ranks, least), ranks) for
+    truths of one id a rank, without a row for each hit and species of its group.
+
+    Of a group it counts how many of its species stand for an id, near (below 5 % of
+    distance), less near (below 10 %) and far. Ids that count alike in all groups share a class,
+    and a read's hits are added up by class. The classes by group travel to the tasks as
+    arrays: a group's species are one class where no other group votes for them."""
+    votes = _votes(members).join(ranked, "taxid", "left")
+    far = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("far")
+
+    def known(r: str) -> Column:
+        unknown = {"species": (F.col("far") > 0) | F.col("informal"), "genus": F.col("far") > 1}.get(r, F.lit(False))
+        return F.struct(F.lit(ranks.index(r)).alias("i"), F.when(unknown, 0).otherwise(F.coalesce(F.col(r), F.lit(0))).cast("long").alias("id"))
+
+    each = votes.select("*", far).select("grp", "far", F.explode(F.array(*[known(r) for r in ranks])).alias("x"))
+    counts = stored(each.groupBy("x.i", "x.id", "grp", "far").agg(F.count("*").cast("double").alias("n")))
+    of_id = counts.groupBy("i", "id").agg(F.sort_array(F.collect_list(F.struct("grp", "far", "n"))).alias("v"))
+    # What is unknown is a class of its own at each rank.
+    kinds = stored(of_id.groupBy("i", "v", (F.col("id") == 0).alias("zero")).agg(F.min("id").alias("c"), F.collect_list("id").alias("ids")))
+    rows = sorted((r.grp, r.far, r.i, r.c, r.n) for r in kinds.select("i", "c", F.explode("v").alias("x")).select("i", "c", "x.*").collect())
+    names = sorted({(i, c) for _, _, i, c, _ in rows})
+    number = {x: k for k, x in enumerate(names)}
+    cells = sorted({(g, f) for g, f, _, _, _ in rows})
+    at = {x: k for k, x in enumerate(cells)}
+    entry = np.array([at[g, f] for g, f, _, _, _ in rows], np.int64)
+    begin = np.searchsorted(entry, np.arange(len(cells) + 1))
+    column, times = np.array([number[i, c] for _, _, i, c, _ in rows], np.int64), np.array([n for *_, n in rows])
+    rank = np.array([i for i, _ in names], np.int64)
+    zero = np.array([c == 0 for _, c in names], bool)
+    codes = F.broadcast(assigned.sparkSession.createDataFrame([(g, f, k) for (g, f), k in at.items()], "grp long, far int, cell long"))
+    classes = assigned.sparkSession.createDataFrame([(i, c, k) for (i, c), k in number.items()], "i int, c long, k long")
+
+    d = F.greatest("dist", "mean_dist")
+    near = assigned.where("tax_id <> -1").select("read_id", "tax_id", "prop", F.when(d >= 10, 2).when(d >= 5, 1).otherwise(0).alias("far"))
+    hits = near.join(members.select("tax_id", F.col("grp").cast("long").alias("grp")).distinct(), "tax_id").join(codes, ["grp", "far"])
+    reads = hits.groupBy("read_id").agg(F.collect_list("cell").alias("cells"), F.collect_list("prop").alias("props"))
+    told = truths.select(F.col("read").alias("read_id"), *[F.col(r).cast("long").alias(f"t_{r}") for r in ranks])
+    of_class = kinds.select("i", "c", F.explode("ids").alias("id")).join(F.broadcast(classes), ["i", "c"])
+    for i, r in enumerate(ranks):
+        told = told.join(of_class.where(F.col("i") == i).select(F.col("id").alias(f"t_{r}"), F.col("k").alias(f"k_{r}")), f"t_{r}", "left")
+    truth_of = told.select("read_id", F.array(*[F.when(F.col(f"t_{r}") == 0, -2).otherwise(F.coalesce(f"k_{r}", F.lit(-1))).cast("long") for r in ranks]).alias("truths"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(ranks), 5), np.int64)
+        for whole in batches:
+            for start in range(0, len(whole), 4096):
+                b = whole.slice(start, 4096)
+                cell, prop = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
+                read = np.repeat(np.arange(len(b)), np.diff(b.column(0).offsets.to_numpy()))
+                size = begin[cell + 1] - begin[cell]
+                place = np.repeat(begin[cell] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                slot = np.repeat(read, size) * len(names) + column[place]
+                used, slot = np.unique(slot, return_inverse=True)
+                enough = np.bincount(slot, np.repeat(prop, size) * times[place], len(used)) >= least
+                read, k = np.divmod(used[enough], len(names))
+                true = b.column(2).flatten().to_numpy().reshape(len(b), len(ranks))
+                some, none, hit = (np.zeros((len(b), len(ranks)), bool) for _ in range(3))
+                some[read[~zero[k]], rank[k[~zero[k]]]] = True
+                none[read[zero[k]], rank[k[zero[k]]]] = True
+                same = np.flatnonzero(true[read, rank[k]] == k)
+                hit[read[same], rank[k[same]]] = True
+                none |= ~some  # nothing told is unknown
+                blank = true == -2
+                kind = np.select([hit, blank & none, ~blank & some, ~blank], [0, 4, 1, 2], 3)
+                for i in range(len(ranks)):
+                    total[i] += np.bincount(kind[:, i], minlength=5)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ranks)), pa.int32()), *[pa.array(total[:, j]) for j in range(5)]], ["i", *KINDS])
+
+    n = reads.join(truth_of, "read_id").select("cells", "props", "truths").mapInArrow(run, "i int, " + ", ".join(f"{x} long" for x in KINDS))
+    sums = n.groupBy("i").agg(*[F.sum(x).alias(x) for x in KINDS])
+    every = assigned.sparkSession.createDataFrame(list(enumerate(ranks)), "i int, rank string").join(sums, "i", "left")
+    return every.select("rank", *profile.measures(*[F.coalesce(x, F.lit(0)) for x in KINDS]))

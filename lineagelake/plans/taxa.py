@@ -109,7 +109,7 @@ def truth_scores(spark, sf_dir):
     truths = truth.truth(li.select(F.col("l_orderkey").alias("read"), (F.col("sup") + 10).alias("taxid")), ranked, TOLD)
     members = s.select(F.col("s_suppkey").alias("tax_id"), (F.col("s_suppkey") % 40).alias("grp"), F.col("s_suppkey").alias("unit"), (F.col("s_suppkey") + 10).alias("taxid"), (F.col("s_suppkey") % 7 > 0).alias("formal"))
     assigned = _plainly_assigned(spark, sf_dir).withColumns({"prop": F.round("prop", 9), "dist": F.round("dist", 9)})
-    found = truth.rank_scores(truths, truth.predicted(assigned, members, ranked, TOLD), TOLD)
+    found = truth.graded(truths, assigned, members, ranked, TOLD)
     return found.select("rank", "n_true", "n_false_positive", "n_false_negative", _r("precision"), _r("recall"))
 
 
